@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, word_array
+from millrace.llm.common import ascii_lower, stash, word_array
 
 SHINGLE = 5
 #: Hashes are md5 in hex; those below this prefix are kept: an eighth of the range.
