@@ -55,15 +55,19 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def block_pairs(members: DataFrame, group: str, member: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, group: str, member: str, block: int, weight: str | None = None, heavy: int = 2_000_000) -> DataFrame:
     """Deal the members of each group into pairs of blocks of about ``block`` members.
 
     Adds ``b_left`` and ``b_right`` (the pair of blocks) and ``b_own`` (the member's own block).
     A group of n members has ceil(n / block) blocks by hash of the member, each block meets each
     other block in one pair, so that every two members meet in exactly one pair of blocks and no
-    task holds a whole large group.
+    task holds a whole large group. With ``weight``, blocks are also cut so that each weighs about
+    ``heavy`` at most.
     """
-    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_nb"))
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.sum(weight) / F.lit(heavy)))
+    sizes = members.groupBy(group).agg(blocks.cast("int").alias("_nb"))
     many = sizes.where("_nb > 1")
     own = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.coalesce("_nb", F.lit(1))).cast("int")
     return (
