@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, fingerprints, minhash, secrets, urls
+from millrace.llm import bpe, embeddings, fingerprints, minhash, secrets, urls
 from millrace.llm.oracles import ORACLES
 
 #: (host, path, verdict) of the URL rules.
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Plan(words=3, num=85))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -41,5 +46,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_dedup, op4_secret_scan, op5_document_fingerprints, op9_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_minhash_dedup, op4_secret_scan, op5_document_fingerprints, op9_url_filter, op10_byte_bpe)}
 __all__ = ["ORACLES", "QUERIES"]
