@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, embeddings, fingerprints, minhash, secrets, urls
+from millrace.llm import bpe, embeddings, fingerprints, minhash, secrets, sharding, urls
 from millrace.llm.oracles import ORACLES
 
 #: (host, path, verdict) of the URL rules.
@@ -34,6 +34,12 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")))
 
 
+def op8_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_rows(table(spark, sf_dir, "documents"), 40)
+    law, none = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", law, "shard", F.col("slot").cast("long").alias("slot"), none)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
@@ -46,5 +52,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_minhash_dedup, op4_secret_scan, op5_document_fingerprints, op9_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op3_minhash_dedup, op4_secret_scan, op5_document_fingerprints, op8_karmarkar_karp_shards, op9_url_filter, op10_byte_bpe)}
 __all__ = ["ORACLES", "QUERIES"]
