@@ -12,7 +12,7 @@ All pairs are looked at inside blocks, none but the edges of forests leave them.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing; a
 text with fewer words than a shingle is one shingle; rows with a null id join the group of their
-set but are never its name; repeated rows are one class.
+set but never name it, and are kept only where it has no name; repeated rows are one class.
 """
 
 from __future__ import annotations
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         signed.select("id", "n_shingles", "set_key")
         .join(named, "set_key", "left")
         .select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        .withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
+        .withColumn("kept", F.when(F.col("id").isNull(), F.col("component").isNull()).otherwise(F.col("id") == F.col("component")))
     )
 
 

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, embeddings, fingerprints, minhash, packing, pii, secrets, sharding, toxicity, urls
-from millrace.llm.oracles import ORACLES
+from millrace.llm.oracles import ORACLES, URL_RULES
 
-#: (host, path, verdict) of the URL rules.
-URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
 #: Key of the surrogates; a deployment passes its own secret.
 PII_KEY = b"millrace example key"
