@@ -72,7 +72,7 @@ class Plan:
     sample: int = 8000
     features: int = 1024
     least_docs: int = 4
-    ridge: float = 0.3
+    ridge: float = 0.1
     counterfactual: float = 10.0
     rounds: int = 12
 
