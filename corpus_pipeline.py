@@ -1,16 +1,56 @@
-"""Four stages over the documents, each reading what the one before has written."""
+"""Four stages over the documents, each reading what the one before has written.
+
+toxicity      documents that the classifier rejects go
+near_dedup    one document of each group of near duplicates stays, the one with the smallest id
+pii           personal data give way to surrogates; ``n_chars`` follows the new text
+packing       what is left is packed into bins; one row for each piece of a document
+
+All but the last return the columns of the documents, in their order, extra ones included. Rows with
+null ids or texts pass the filters: a null text is not toxic, and a document without an id or without
+words belongs to no group. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
-ORACLE_SQL = None
+from millrace.llm import minhash, packing, pii, toxicity
+from millrace.llm.common import stash
+from millrace.llm.queries import PII_KEY
 
+ORACLE_SQL = None  # a classifier and keyed surrogates can't be written in SQL
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return toxicity.with_scores(rows, model).where("predicted = 0").select("row.*")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs)
+    gone = found.where(~F.col("kept") & F.col("id").isNotNull()).select(F.col("id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return left.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.common import stash
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.with_surrogates(docs, PII_KEY)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = packing.pack_documents(docs)
+    return found.select("bin", F.col("id").alias("doc_id"), "piece", "start", "length", "bin_offset", "source", "cluster")
+
+
+STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir))
