@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from millrace.plans import q_chat, q_contamination, q_dedup, q_mixture, q_order, q_text  # noqa: F401
+from millrace.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
