@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, stash, word_array
+from millrace.llm.common import ascii_lower, word_array
 
 SHINGLE = 5
 #: Hashes are md5 in hex; those below this prefix are kept: an eighth of the range.
@@ -67,55 +67,66 @@ def written(hashes: Column) -> Column:
     return F.array_join(hashes, ",")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """From rows (key, id, n): the key and length of the row before, in a ring by descending id.
+#: Intervals between quantiles that the ids are cut into first, each then evenly into cells.
+INTERVALS = 64
+#: Rows of a cell, as long as there are at most so many cells.
+CELL_ROWS, MOST_CELLS = 2000, 100_000
 
-    Ids are dealt to ranges, ordered within each range on their own, and only the borders of the
-    ranges, one row each, are looked at together; no task sees all ids.
-    """
-    order = [F.col("id").desc_nulls_last(), F.col("key")]
-    ranged = stash(docs.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
-    me = F.struct("key", "n")
-    within = Window.partitionBy("range").orderBy(*order)
-    ends = ranged.withColumn("after", F.lead("key").over(within)).where(F.col("after").isNull()).select("range", me.alias("last"))
-    every = Window.orderBy("range")  # a row for each range
-    borders = ends.select(
-        F.col("range").alias("b_range"),
-        F.coalesce(F.lag("last").over(every), F.last("last").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("border"),
-    )
-    before = F.coalesce(F.lag(me).over(within), F.col("border"))
-    return (
-        ranged.join(borders, F.col("range") == F.col("b_range"))
-        .withColumn("before", before)
-        .select("key", "rows", F.col("before.key").alias("owner"), F.floor(F.col("before.n") / 2).cast("int").alias("owner_half"))
-    )
+
+def id_cells(docs: DataFrame, id_col: str) -> Column:
+    """A number that rises with the id and is shared by some 2000 neighbouring rows; -1 for nulls."""
+    v = F.col(id_col).cast("double")
+    n, low, high = docs.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
+        return F.lit(-1)
+    cuts = sorted({low, *docs.select(v.alias("v")).approxQuantile("v", [i / INTERVALS for i in range(1, INTERVALS)], 1 / (8 * INTERVALS)), high})
+    share = max(1, round(n / max(1, len(cuts) - 1) / max(CELL_ROWS, n / MOST_CELLS)))
+
+    def pick(a: int, b: int) -> Column:
+        """The cell among the intervals a to b-1, found by halving."""
+        if b - a <= 1:
+            at = F.floor((v - cuts[a]) / ((cuts[b] - cuts[a]) or 1.0) * share) if b > a else F.lit(0)
+            return F.least(F.lit(share - 1), at).cast("int") + a * share
+        mid = (a + b) // 2
+        return F.when(v < cuts[mid], pick(a, mid)).otherwise(pick(mid, b))
+
+    return F.when(v.isNull(), -1).otherwise(pick(0, len(cuts) - 1))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, below: str = BELOW) -> DataFrame:
     """Each row's sketch, its text after the edit (its latter half replaced by the beginning of the
     next document's) and that text's sketch, and the next document's sketch.
 
-    Texts move once, by a key of the row, and then the pieces that the edit takes move to their
-    new place.
+    The next document is found without an order over the whole table: ranges of ids (cells) are
+    ordered on their own, so texts move once. Each cell's first row, sent along as a table of at
+    most MOST_CELLS rows of ids, also follows the last row of the cell before it, in a ring.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
-        "id", "text", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("-")), "text")).alias("key"), F.char_length("text").alias("n")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("tie"), id_cells(rows, "id").alias("cell"))
+    firsts = rows.groupBy("cell").agg(F.max(F.struct("id", "tie")).alias("f"))
+    every = Window.orderBy(F.col("cell").desc())  # a row for each cell
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = firsts.select(F.coalesce(F.lag("cell").over(every), F.last("cell").over(whole)).alias("follows"), F.col("f.id").alias("f_id"), F.col("f.tie").alias("f_tie"))
+    shown = sketch(F.col("text"), size, below)
+    borders = (
+        rows.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("tie") == F.col("f_tie")))
+        .dropDuplicates(["follows"])
+        .select("follows", F.col("text").alias("b_text"), shown.alias("b_print"))
+    )
+    within = Window.partitionBy("cell").orderBy(F.col("id").desc_nulls_last(), F.col("tie").desc())
+    lined = rows.withColumn("print", shown).select(
+        "*", F.lead("tie").over(within).alias("n_tie"), F.lead("text").over(within).alias("n_text"), F.lead("print").over(within).alias("n_print")
     )
-    narrow = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    ring = neighbours(narrow)
-    copies = Window.partitionBy("key").orderBy("key")
-    base = rows.withColumn("print", sketch(F.col("text"), size, below)).join(ring, "key").withColumn("copy", F.row_number().over(copies))
-    pieces = base.where("copy = 1").select(F.col("owner").alias("to"), F.expr("left(text, owner_half)").alias("piece"), F.col("print").alias("print_after"))
-    own = base.select("id", "text", "n", "key", "rows", "copy", "print")
-    more = F.col("copy") < F.col("rows")  # equal rows follow each other
-    half = F.floor(F.col("n") / 2).cast("int")
+    last = F.col("n_tie").isNull()
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
     return (
-        own.join(pieces, F.col("key") == F.col("to"))
-        .withColumn("next_print", F.when(more, F.col("print")).otherwise(F.col("print_after")))
-        .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.when(more, F.substring("text", F.lit(1), half)).otherwise(F.col("piece"))))
+        lined.join(borders, F.col("cell") == F.col("follows"))
+        .withColumn("next_print", F.when(last, F.col("b_print")).otherwise(F.col("n_print")))
+        .withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.when(last, F.col("b_text")).otherwise(F.col("n_text")), F.lit(1), half)))
         .withColumn("edited_print", sketch(F.col("edited"), size, below))
-        .select("id", "text", "n", "print", "edited", "edited_print", "next_print")
+        .select("id", "text", n.alias("n"), "print", "edited", "edited_print", "next_print")
     )
 
 
