@@ -112,5 +112,5 @@ def conversation_hash(messages: Column) -> Column:
 
 
 def passed_tests(score: Column) -> Column:
-    """A score, number or text, that is exactly one."""
-    return F.coalesce(F.try_to_number(F.trim(score.cast("string")), F.lit("9.999999999999999999999999999")) == 1, F.lit(False))
+    """A score, number or text, that is exactly one; to 27 decimal places, nothing is rounded."""
+    return F.coalesce(F.trim(score.cast("string")).try_cast("decimal(38,27)") == 1, F.lit(False))
