@@ -1,9 +1,93 @@
-"""Sinks: sharded Parquet with a manifest that commits it, and what is found on disk later."""
+"""Sinks: sharded Parquet with a manifest that commits it, and tables between steps."""
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, with no lineage behind it."""
+    path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):  # noqa: ANN201
+    """Hadoop's file system of a path, and the path: works for any store that Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, where = file_system(spark, path)
+    out = fs.create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, where = file_system(spark, path)
+    if not fs.exists(where):
+        return None
+    return "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+
+
+def write_folder(df: DataFrame, path: str, shard_rows: int = 10_000, identity: str = "", tokens: str | None = None) -> dict:
+    """Writes zstd shards of at most ``shard_rows`` rows beside the target, then swaps the folder in
+    and commits it with MANIFEST.json, written last; readers trust only what the manifest lists."""
+    spark = df.sparkSession
+    fresh = f"{path}.tmp-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(fresh)
+    fs, target = file_system(spark, path)
+    _, source = file_system(spark, fresh)
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(source, target)
+    rows = spark.read.parquet(path).select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"))
+    total = F.when(F.count(tokens) == F.count(F.lit(1)), F.sum(tokens)) if tokens else F.lit(None).cast("bigint")
+    shards = [r.asDict() for r in rows.groupBy(F.col("_file").alias("name")).agg(F.count(F.lit(1)).alias("rows"), total.alias("tokens")).orderBy("name").collect()]
+    manifest = {"identity": identity, "rows": sum(s["rows"] for s in shards), "shards": shards}
+    write_text(spark, f"{path}/MANIFEST.json", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+def folder_state(spark: SparkSession, path: str, identity: str) -> str:
+    """missing, unreadable, stale (another identity) or current."""
+    text = read_text(spark, f"{path}/MANIFEST.json")
+    if text is None:
+        return "missing"
+    try:
+        found = json.loads(text)["identity"]
+    except (ValueError, KeyError):
+        return "unreadable"
+    return "current" if found == identity else "stale"
+
 
 def assess_shards(listed: list[str], on_disk: list[str]) -> list[tuple[str, str]]:
     """(name, ok, missing or stray) of every shard that is listed or there."""
     a, b = set(listed), set(on_disk)
     return [(n, "ok" if n in a & b else "missing" if n in a else "stray") for n in sorted(a | b)]
+
+
+def covered_prefix(listed: list[str], covered: list[str]) -> bool:
+    """Whether the covered raw shards are the first of those listed."""
+    return listed[: len(covered)] == covered
+
+
+def export_jsonl(df: DataFrame, path: str, index: str = "row_index") -> None:
+    """Rows as JSON lines with their index first."""
+    df.select(index, *(c for c in df.columns if c != index)).write.mode("overwrite").json(path)
