@@ -15,7 +15,6 @@ input keep their names and order, and added ones replace any of the same name.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "name")
+KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "name")
 
 #: Fixed given names by script and gender.
 GIVEN = {
@@ -199,7 +198,13 @@ PATTERNS = {
     "card": re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     "ip": re.compile(rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9A-Za-z])"),
+    "phone": re.compile(
+        r"(?<![0-9A-Za-z+])(?:"
+        r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}"  # ten digits in three groups
+        r"|\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,5}"  # with a country code
+        r"|\(?0[0-9]{1,4}\)?[ ./-][0-9]{3,8}(?:[ .-][0-9]{2,6})?"  # with a trunk prefix
+        r")(?![0-9A-Za-z])"
+    ),
 }
 DIGITS = re.compile(r"[0-9][0-9 .()-]{5}")
 PAIR = re.compile(rf"({CAPITAL}) ({CAPITAL})")
@@ -217,6 +222,20 @@ def valid(kind: str, text: str) -> bool:
     return True
 
 
+def valid_part(kind: str, m: re.Match) -> tuple[int, int] | None:
+    """The match, or for a card the longest part of it that is one: other numbers may stand beside."""
+    if valid(kind, m[0]):
+        return m.span()
+    if kind == "card":
+        runs = [r.span() for r in re.finditer("[0-9]+", m[0])]
+        parts = [(runs[i][0], runs[j][1]) for i in range(len(runs)) for j in range(i, len(runs))]
+        good = [(a, b) for a, b in parts if 13 <= sum(c.isdigit() for c in m[0][a:b]) <= 19 and valid(kind, m[0][a:b])]
+        if good:
+            a, b = max(good, key=lambda s: s[1] - s[0])
+            return m.start() + a, m.start() + b
+    return None
+
+
 def name_spans(text: str) -> Iterator[tuple[int, int]]:
     """Given name and surname, title and surname, and given names again once they were so found."""
     known = set()
@@ -233,30 +252,46 @@ def name_spans(text: str) -> Iterator[tuple[int, int]]:
 
 
 
+def gaps(taken: list[tuple[int, int, str]], n: int) -> Iterator[tuple[int, int]]:
+    last = 0
+    for a, b, _ in taken:
+        if a > last:
+            yield last, a
+        last = b
+    if n > last:
+        yield last, n
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), disjoint and in order."""
-    found: list[tuple[int, int, int]] = []
-    for rank, kind in enumerate(KINDS):
-        if kind == "email":
-            at = text.find("@")
-            while at >= 0:  # look around each sign instead of at every word
-                begin = max(0, at - 64)
-                for m in PATTERNS[kind].finditer(text, begin, min(len(text), at + 256)):
-                    if m.start() < at < m.end():
-                        found.append((*m.span(), rank))
-                at = text.find("@", at + 1)
-        elif kind == "name":
-            found += [(a, b, rank) for a, b in name_spans(text)]
-        elif DIGITS.search(text):
-            found += [(*m.span(), rank) for m in PATTERNS[kind].finditer(text) if valid(kind, m[0])]
-    found.sort(key=lambda x: (x[2], x[0], -x[1]))
+    """(start, end, kind), disjoint and in order. Each kind is looked for in what the kinds before
+    it have left, so a value is not lost to another that it stands beside."""
     taken: list[tuple[int, int, str]] = []
-    starts: list[int] = []
-    for a, b, rank in found:
-        i = bisect.bisect(starts, a)
-        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
-            starts.insert(i, a)
-            taken.insert(i, (a, b, KINDS[rank]))
+    if "@" in text:
+        at, last = text.find("@"), 0
+        while at >= 0:  # look around each sign instead of at every word
+            m = next((m for m in PATTERNS["email"].finditer(text, max(last, at - 64), min(len(text), at + 256)) if m.start() < at < m.end()), None)
+            if m:
+                last = m.end()
+                taken.append((m.start(), last, "email"))
+            at = text.find("@", max(at + 1, last))
+    if DIGITS.search(text):
+        for kind in KINDS[1:-1]:
+            found = [(*span, kind) for a, b in gaps(taken, len(text)) for m in PATTERNS[kind].finditer(text, a, b) if (span := valid_part(kind, m))]
+            if found:
+                taken = sorted(taken + found)
+    names: list[tuple[int, int]] = []
+    for a, b in sorted(set(name_spans(text)), key=lambda s: (s[0], -s[1])):
+        if not names or a >= names[-1][1]:
+            names.append((a, b))
+    if names:
+        at = 0
+        held = list(taken)
+        for a, b in names:
+            while at < len(held) and held[at][1] <= a:
+                at += 1
+            if at == len(held) or held[at][0] >= b:
+                taken.append((a, b, "name"))
+        taken.sort()
     return taken
 
 
