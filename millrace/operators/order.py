@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import cut_lineage
+
 
 def shuffle_key(seed: int, row: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string")))
@@ -19,9 +21,10 @@ def dense_index(rows: DataFrame, order: list[Column], ranges: int = 0) -> DataFr
     """Adds ``position``, 0, 1, ... over the whole table, without one task for all rows.
 
     Rows are dealt to ranges of the order, numbered within each, and each range starts where those
-    before it end; the table of starts has a row for each range.
+    before it end; the table of starts has a row for each range. The ranges are written down before
+    they are used twice: their borders come from a sample and would differ the next time.
     """
-    dealt = rows.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("_range", F.spark_partition_id())
+    dealt = cut_lineage(rows.repartitionByRange(*([ranges] if ranges else []), *order).withColumn("_range", F.spark_partition_id()))
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import dedup
+from millrace.operators.order import dense_index
 from millrace.plans.registry import query, sql_hash, sql_norm, table
 
 HASH = sql_hash(sql_norm("text"))
@@ -107,9 +108,12 @@ SHARDED = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with their dense index within the source."""
-    by = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.estimate_tokens(F.col("text")).alias("tokens"), (F.row_number().over(by) - 1).cast("bigint").alias("row_idx"))
+    """Rows with their dense index within the source. Rows are numbered over all sources in order,
+    from which each source's first number is taken: a source with most rows is still many ranges."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.estimate_tokens(F.col("text")).alias("tokens"))
+    placed = dense_index(rows, [F.col("source"), F.col("doc_id")])
+    starts = placed.groupBy("source").agg(F.min("position").alias("start"))
+    return placed.join(starts, "source").select("doc_id", "source", "lang", "tokens", (F.col("position") - F.col("start")).cast("bigint").alias("row_idx"))
 
 
 @query(f"{SHARDED} SELECT source, row_idx // 20 AS shard, count(*) AS rows, sum(tokens)::BIGINT AS tokens, sum(least(tokens, 256))::BIGINT AS capped_tokens, min(row_idx) AS first_row FROM r GROUP BY source, shard")
