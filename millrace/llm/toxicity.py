@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "
         return Model({}, float(np.log(0.05 / 0.95)))
     read = lambda c: [np.frombuffer(b, "<u4") for b in rows[c]]
     feats = read("feats")
-    flat, doc = np.concatenate(feats), np.repeat(np.arange(n), [len(f) for f in feats])
+    flat, doc = np.concatenate(feats), np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in feats])
     ids, at = np.unique(flat, return_inverse=True)
     pos = np.bincount(at, weights=y[doc], minlength=len(ids))
     neg = np.bincount(at, minlength=len(ids)) - pos
@@ -161,13 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "
     x[:, k] = 1  # the bias
     kept = place[at] >= 0
     x[doc[kept], place[at][kept]] = 1
-    swap = np.zeros((n, k + 1))
-    for sign, column in ((1, "plus"), (-1, "minus")):
-        for i, f in enumerate(read(column)):
+    pairs = []
+    for more, less in zip(read("plus"), read("minus"), strict=True):
+        if not len(less):
+            continue
+        change = np.zeros(k + 1)
+        for sign, f in ((1, more), (-1, less)):
             j = np.searchsorted(ids, f)
             j = j[(j < len(ids)) & (ids[np.minimum(j, len(ids) - 1)] == f)]
-            swap[i, place[j][place[j] >= 0]] += sign
-    swap = swap[np.abs(swap).any(axis=1)]
+            change[place[j][place[j] >= 0]] += sign
+        if change.any():
+            pairs.append(change)
+    swap = np.array(pairs)
     fixed = np.diag(np.r_[np.full(k, plan.ridge), 1e-6])
     if len(swap):
         fixed += plan.counterfactual * swap.T @ swap
