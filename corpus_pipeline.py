@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from millrace.llm import minhash, packing, pii, toxicity
 from millrace.llm.common import stash
 from millrace.llm.queries import PII_KEY
+from millrace.ship import shipped
 
 ORACLE_SQL = None  # a classifier and keyed surrogates can't be written in SQL
 
@@ -47,7 +48,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.select("bin", F.col("id").alias("doc_id"), "piece", "start", "length", "bin_offset", "source", "cluster")
 
 
-STAGES = [("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("packing", packing_stage)]
+STAGES = [(name, shipped(f)) for name, f in (("toxicity", toxicity_stage), ("near_dedup", near_dedup_stage), ("pii", pii_stage), ("packing", packing_stage))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
