@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.sources.storage import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -23,12 +25,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def on_views(spark: SparkSession, sf_dir: str, sql: str, **tables: DataFrame) -> DataFrame:
-    """Runs SQL over tables of the folder and given frames, bound by name in the query only."""
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in ("documents", "benchmark", "conversations", "labels", "embeddings") if "{" + n + "}" in sql}, **tables)
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 #: SQL fragments shared by the oracles: words and normal form as DuckDB says them.

@@ -26,6 +26,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that was stored in fewer splits than there are cores, dealt out to all of them; larger
+    tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def file_system(spark: SparkSession, path: str):  # noqa: ANN201
     """Hadoop's file system of a path, and the path: works for any store that Spark reads."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
