@@ -148,28 +148,30 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "
         return Model({}, float(np.log(0.05 / 0.95)))
     read = lambda c: [np.frombuffer(b, "<u4") for b in rows[c]]
     feats = read("feats")
-    flat, doc = np.concatenate(feats), np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in feats])
-    ids, at = np.unique(flat, return_inverse=True)
-    pos = np.bincount(at, weights=y[doc], minlength=len(ids))
-    neg = np.bincount(at, minlength=len(ids)) - pos
-    worth = np.where(pos + neg >= plan.least_docs, gain(pos, neg, n_pos, n - n_pos), -1.0)
-    best = np.sort(np.argsort(-worth, kind="stable")[: plan.features])
-    place = np.full(len(ids), -1)
-    place[best] = np.arange(len(best))
-    k = len(best)
+    ids, count = np.unique(np.concatenate(feats), return_counts=True)
+    of_toxic, count_toxic = np.unique(np.concatenate([f for f, toxic in zip(feats, y, strict=True) if toxic]), return_counts=True)
+    pos = np.zeros(len(ids))
+    pos[np.searchsorted(ids, of_toxic)] = count_toxic
+    worth = np.where(count >= plan.least_docs, gain(pos, count - pos, n_pos, n - n_pos), -1.0)
+    chosen = ids[np.sort(np.argsort(-worth, kind="stable")[: plan.features])]
+    k = len(chosen)
+
+    def columns(f: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(chosen, f), k - 1)
+        return at[chosen[at] == f]
+
     x = np.zeros((n, k + 1))
     x[:, k] = 1  # the bias
-    kept = place[at] >= 0
-    x[doc[kept], place[at][kept]] = 1
+    for i, f in enumerate(feats):
+        x[i, columns(f)] = 1
+    del feats
     pairs = []
     for more, less in zip(read("plus"), read("minus"), strict=True):
         if not len(less):
             continue
         change = np.zeros(k + 1)
-        for sign, f in ((1, more), (-1, less)):
-            j = np.searchsorted(ids, f)
-            j = j[(j < len(ids)) & (ids[np.minimum(j, len(ids) - 1)] == f)]
-            change[place[j][place[j] >= 0]] += sign
+        change[columns(more)] += 1
+        change[columns(less)] -= 1
         if change.any():
             pairs.append(change)
     swap = np.array(pairs)
@@ -186,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-4:
             break
-    return Model({int(i): float(v) for i, v in zip(ids[best], w, strict=False)}, float(w[k]))
+    return Model({int(i): float(v) for i, v in zip(chosen, w, strict=False)}, float(w[k]))
 
 
 class Known(dict):
