@@ -4,8 +4,8 @@
    documents with equal sets become one class, so copies cost nothing further.
 2. Classes meet in the buckets of their bands. Within each bucket the signatures are compared, in
    blocks, and a forest of the pairs that may be similar comes out: their trees are the families.
-3. Within each family, in blocks again, pairs that the signatures don't rule out and that are not yet
-   connected are confirmed on their full sets; a forest of confirmed links comes out.
+3. Within each family, in blocks again, all pairs are confirmed on their full sets; a forest of
+   confirmed links comes out.
 4. The links' components (large-star and small-star) name the groups.
 
 All pairs are looked at inside blocks, none but the edges of forests leave them.
@@ -207,6 +207,30 @@ def similar(short: np.ndarray, i: int, js: np.ndarray, least: int) -> np.ndarray
     return js[(short[js] == short[i]).sum(axis=1) >= least]
 
 
+def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs of a block, as products of 0/1 matrices.
+
+    Hashes that only one set of the block has don't enter; the others are taken ``width`` at a time,
+    so memory is bounded by the block.
+    """
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n))
+    for first in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, (first, first + width))
+        part = np.zeros((n, min(width, int(column[b - 1]) - first + 1)), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
 BLOCK_KEYS = ["grp", "b_left", "b_right"]
 
 
@@ -219,28 +243,28 @@ def forest(pairs: DataFrame, plan: Plan, exact: bool) -> DataFrame:
             ids = group.column("id").to_numpy()
             own = group.column("b_own").to_numpy()
             cross = group.column("b_left")[0].as_py() != group.column("b_right")[0].as_py()
-            short = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(ids), -1)
-            sets = list(shingler.sets(group.column("text").combine_chunks())) if exact else None
+            short = None if exact else np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(ids), -1)
+            near = None
+            if exact:
+                sets = list(shingler.sets(group.column("text").combine_chunks()))
+                size, common = np.array([len(x) for x in sets]), common_counts(sets)
+                near = plan.den * common >= plan.num * (size[:, None] + size - common)
             label, a, b = np.arange(len(ids)), [], []
             for i in range(len(ids) - 1):
                 js = np.arange(i + 1, len(ids))
                 js = js[label[js] != label[i]]
                 if cross:
                     js = js[own[js] != own[i]]
-                for j in similar(short, i, js, plan.agree):
+                for j in js[near[i, js]] if exact else similar(short, i, js, plan.agree):
                     if label[i] == label[j]:
                         continue
-                    if exact:
-                        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if plan.den * common < plan.num * (len(sets[i]) + len(sets[j]) - common):
-                            continue
                     label[label == label[j]] = label[i]
                     a.append(ids[i])
                     b.append(ids[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    columns = ["id", "b_own", *BLOCK_KEYS, "short", *(["text"] if exact else [])]
+    columns = ["id", "b_own", *BLOCK_KEYS, "text" if exact else "short"]
     return pairs.select(*columns).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "a bigint, b bigint")
 
 
@@ -260,7 +284,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     families = connected_components(forest(block_pairs(met, "grp", "id", 2 * block), plan, False))
     named = families.select(F.col("node").alias("id"), F.col("component").alias("grp"))
     named = named.unionByName(named.select(F.col("grp").alias("id"), "grp").distinct())
-    close = classes.select("id", "mark", "short", "n_shingles").join(named, "id").join(texts, ["id", "mark"]).dropDuplicates(["id"])
+    close = classes.select("id", "mark", "n_shingles").join(named, "id").join(texts, ["id", "mark"]).dropDuplicates(["id"])
     links = connected_components(forest(block_pairs(close, "grp", "id", block, "n_shingles"), plan, True))
     named = classes.join(links, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component"))
     return (
