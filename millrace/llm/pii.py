@@ -6,7 +6,9 @@ range without fixed points. So equal values get equal surrogates wherever they s
 different values get different ones (distinctness), no table of values is needed, and the result
 doesn't depend on partitions. Given names move within the names of their gender and script.
 
-``collisions`` checks the corpus for surrogates that two values share.
+The surnames of a shape move among those without a listed ending, given name or title, so that their
+surrogates don't meet those of other words. ``with_surrogates`` checks the corpus for surrogates that
+two values share (``collisions``) before it replaces anything, and moves all but one of them on.
 
 Defined results: a null text stays null; a text without entities stays as it is; values that overlap
 are taken in the order of KINDS, then leftmost; repeated rows get equal results; columns of the
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -95,16 +98,52 @@ def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def ending_of(name: str) -> str:
+    return next((e for e in ENDINGS if name.endswith(e) and len(name) > len(e) + 2), "")
+
+
+class Left:
+    """The numbers of a shape that are left out: those of texts with a tail (no tail ends another, and
+    two more letters stand before it), and of fixed texts without one."""
+
+    def __init__(self, groups: list[str | None], text: str, tails: tuple[str, ...], fixed: tuple[str, ...]) -> None:
+        self.tails = [n for t in tails if len(text) > len(t) + 2 and (n := self.number(groups[-len(t) :], text[-len(t) :], t))]
+        self.fixed = sorted(n[0] for t in fixed if len(t) == len(text) and (n := self.number(groups, text, t)))
+
+    @staticmethod
+    def number(groups: list[str | None], text: str, other: str) -> tuple[int, int] | None:
+        """(number, count of numbers) of another text of the same shape, if it is one."""
+        value, total = 0, 1
+        for group, c, o in zip(groups, text, other, strict=True):
+            if group and o.lower() in group and o.isupper() == c.isupper():
+                value, total = value * len(group) + group.index(o.lower()), total * len(group)
+            elif group or c != o:
+                return None
+        return value, total
+
+    def below(self, n: int) -> int:
+        return sum((n - at + every - 1) // every for at, every in self.tails if n > at) + bisect_left(self.fixed, n)
+
+    def back(self, rank: int) -> int:
+        """The number with so many before it that aren't left out."""
+        n = rank
+        while (m := rank + self.below(n + 1)) != n:
+            n = m
+        return n
+
+
 class Surrogates:
     """Surrogates under one key."""
 
-    def __init__(self, key: bytes) -> None:
+    def __init__(self, key: bytes, further: dict[tuple[str, str], int] | None = None) -> None:
         self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self.further = further or {}
         self.of = lru_cache(maxsize=100_000)(self.make)
         self.permutation = lru_cache(maxsize=10_000)(lambda name, n: Permutation(self.key, name, n))
 
-    def reshaped(self, kind: str, text: str) -> str:
-        """Letters and digits moved together within the texts of the same shape."""
+    def reshaped(self, kind: str, text: str, tails: tuple[str, ...] = (), fixed: tuple[str, ...] = ()) -> str:
+        """Letters and digits moved together within the texts of the same shape, of which those with
+        one of the tails and the fixed ones are left out."""
         groups, value, total = [], 0, 1
         for c in text:
             group = "0123456789" if c in "0123456789" else CLASS.get(c.lower())
@@ -112,7 +151,9 @@ class Surrogates:
             if group:
                 value = value * len(group) + group.index(c.lower())
                 total *= len(group)
-        value, out = self.permutation(f"{kind}:{'.'.join(g[0] if g else c for g, c in zip(groups, text, strict=True))}", total)(value), []
+        out_of = Left(groups, text, tails, fixed)
+        move = self.permutation(f"{kind}:{'.'.join(g[0] if g else c for g, c in zip(groups, text, strict=True))}", total - out_of.below(total))
+        value, out = out_of.back(move(value - out_of.below(value))), []
         for c, group in zip(reversed(text), reversed(groups), strict=True):
             if group:
                 value, at = divmod(value, len(group))
@@ -126,7 +167,10 @@ class Surrogates:
         return re.sub("[0-9]", lambda _: next(it), text)
 
     def make(self, kind: str, text: str) -> str:
-        return getattr(self, f"_{kind}")(text)
+        new = getattr(self, f"_{kind}")(text)
+        for _ in range(self.further.get((kind, text), 0)):
+            new = getattr(self, f"_{kind}")(new)
+        return new
 
     def _email(self, text: str) -> str:
         local, _, domain = text.rpartition("@")
@@ -184,11 +228,14 @@ class Surrogates:
         return GIVEN[pool][self.permutation(f"given{pool}", len(GIVEN[pool]))(at)]
 
     def surname(self, name: str) -> str:
-        ending = next((e for e in ENDINGS if name.endswith(e) and len(name) > len(e) + 2), "")
-        return self.reshaped("surname", name[: len(name) - len(ending)]) + ending
+        ending = ending_of(name)
+        stem = name[: len(name) - len(ending)]
+        return self.reshaped("surname", stem, () if ending else ENDINGS, STEMS[ending]) + ending
 
 
 NAME_OF = {name: (pool, i) for pool, names in GIVEN.items() for i, name in enumerate(names)}
+#: Words that surnames don't become, by ending and without it.
+STEMS = {e: tuple(sorted(w[: len(w) - len(e)] for w in {*NAME_OF, *TITLES} if ending_of(w) == e)) for e in ("", *ENDINGS)}
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 #: Fixed shapes of the kinds.
@@ -208,6 +255,7 @@ PATTERNS = {
 }
 DIGITS = re.compile(r"[0-9][0-9 .()-]{5}")
 PAIR = re.compile(rf"({CAPITAL}) ({CAPITAL})")
+CAPITALISED = re.compile(r"\b[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]\w+")
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({CAPITAL})(?: ({CAPITAL}))?")
 
 
@@ -237,19 +285,25 @@ def valid_part(kind: str, m: re.Match) -> tuple[int, int] | None:
 
 
 def name_spans(text: str) -> Iterator[tuple[int, int]]:
-    """Given name and surname, title and surname, and given names again once they were so found."""
+    """Given name and surname, title and surname, and either again once they were so found."""
     known = set()
     for m in PAIR.finditer(text):
         if m[1] in NAME_OF:
-            known.add(m[1])
+            known.update((m[1], m[2]))
             yield m.span()
     for m in TITLED.finditer(text):
-        yield m.start(1), m.end(2) if m[2] and m[1] in NAME_OF else m.end(1)
+        whole = m[2] and m[1] in NAME_OF
+        known.update((m[1], m[2]) if whole else (m[1],))
+        yield m.start(1), m.end(2) if whole else m.end(1)
+    known.difference_update(TITLES)
+    if known:
+        for m in CAPITALISED.finditer(text):
+            if m[0] in known:
+                yield m.span()
     for name in known:
-        for m in re.finditer(rf"\b{name}\b", text):
-            yield m.span()
-
-
+        if "-" in name:
+            for m in re.finditer(rf"\b{name}\b", text):
+                yield m.span()
 
 
 def gaps(taken: list[tuple[int, int, str]], n: int) -> Iterator[tuple[int, int]]:
@@ -307,10 +361,11 @@ def replace(text: str, to: Surrogates) -> tuple[str, list[tuple[int, int, str]]]
 
 def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """The rows with texts replaced, and ``n_entities`` and ``entity_kinds`` (sorted, with counts)."""
+    further = resolved(docs, key, text_col)
 
     @F.pandas_udf("text string, n_entities int, entity_kinds string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        to = Surrogates(key)
+        to = Surrogates(key, further)
         for texts in batches:
             rows = []
             for t in texts:
@@ -327,19 +382,36 @@ def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> Data
     return out.select(*(F.col("_run.text").alias(c) if c == text_col else F.col(c) for c in names), "_run.n_entities", "_run.entity_kinds")
 
 
-def entity_table(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+def entity_table(docs: DataFrame, key: bytes, text_col: str = "text", further: dict[tuple[str, str], int] | None = None) -> DataFrame:
     """Distinct (kind, value, surrogate) of the corpus."""
 
     @F.pandas_udf("array<struct<kind:string,value:string,surrogate:string>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        to = Surrogates(key)
+        to = Surrogates(key, further)
         for texts in batches:
-            yield pd.Series([[{"kind": k, "value": t[a:b], "surrogate": to.of(k, t[a:b])} for a, b, k in entities(t)] if t else [] for t in texts])
+            yield pd.Series([[{"kind": k, "value": v, "surrogate": to.of(k, v)} for k, v in sorted({(k, t[a:b]) for a, b, k in entities(t)})] if t else [] for t in texts])
 
     return docs.select(F.explode(run(text_col)).alias("e")).select("e.*").distinct()
 
 
-def collisions(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """(kind, surrogate, values) of surrogates that more than one value got; none are expected."""
-    found = entity_table(docs, key, text_col)
-    return found.groupBy("kind", "surrogate").agg(F.countDistinct("value").alias("values")).where("values > 1")
+def collisions(docs: DataFrame, key: bytes, text_col: str = "text", further: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """(kind, surrogate, values, first) of surrogates that more than one value got; none are expected
+    but of values that differ in a check digit only."""
+    found = entity_table(docs, key, text_col, further)
+    return found.groupBy("kind", "surrogate").agg(F.count("value").alias("values"), F.min("value").alias("first")).where("values > 1")
+
+
+def resolved(docs: DataFrame, key: bytes, text_col: str = "text") -> dict[tuple[str, str], int]:
+    """How many times more a value's surrogate is moved so that no two values of the corpus share one.
+    The least of those that meet keeps its own; the driver holds only the others."""
+    further: dict[tuple[str, str], int] = {}
+    while met := [tuple(r) for r in collisions(docs, key, text_col, further).select("kind", "surrogate", "first").collect()]:
+        first = {(k, s): v for k, s, v in met}
+        shared = entity_table(docs, key, text_col, further).where(F.struct("kind", "surrogate").isin([F.struct(F.lit(k), F.lit(s)) for k, s in first]))
+        for r in shared.collect():
+            if r.value != first[r.kind, r.surrogate]:
+                n = further.get((r.kind, r.value), 0) + 1
+                while Surrogates(key, {(r.kind, r.value): n}).of(r.kind, r.value) == r.value:
+                    n += 1
+                further[r.kind, r.value] = n
+    return further

@@ -261,6 +261,33 @@ def test_surrogates_have_no_collisions(spark, odd, none):
     assert pii.with_surrogates(none, b"key").count() == 0
 
 
+def test_surnames_of_a_shape_have_surrogates_of_their_own():
+    to = pii.Surrogates(b"key")
+    names = [f"{a}{b}{c}{d}{e}" for a in "П" for b in "аеиоуыэюя" for c in "бвгджзклмнпрстфхцчшщ" for d in "аеиоуыэюя" for e in "бвгджзклмнпрстфхцчшщ"]
+    new = [to.of("name", n) for n in names]
+    assert len(set(new)) == len(names) and all(a != b for a, b in zip(names, new, strict=True))
+    assert all(pii.ending_of(a) == pii.ending_of(b) for a, b in zip(names, new, strict=True))
+    every = [f"{a}{b}{c}{d}" for a in "AEIOU" for b in "bcdfghjklmnpqrstvwxyz" for c in "bcdfghjklmnpqrstvwxyz" for d in "aeiou"]
+    every = [n for n in every if n not in pii.NAME_OF]
+    moved = {n: to.of("name", n) for n in every}
+    assert len(every) == 5 * 21 * 21 * 5 - 2 and sorted(moved.values()) == every and all(a != b for a, b in moved.items())
+
+
+def test_surnames_are_found_again():
+    new, _ = pii.replace("Anna Smit wrote. Later Smit left; Smith stayed. Dr. Weber-Lang and Weber-Lang.", pii.Surrogates(b"key"))
+    first, last = new.split()[:2]
+    assert new.split()[4] == last != "Smit" and "Smith stayed" in new and "Weber" not in new
+
+
+def test_values_that_meet_are_parted(spark):
+    head = "37040044053201300"
+    ibans = [f"DE{c}{head}{n:03d}" for n in range(1000) for c in ("00", "97") if pii.valid("iban", f"DE{c}{head}{n:03d}")]
+    docs = spark.createDataFrame([(i, f"pay {v} now") for i, v in enumerate(ibans)], "doc_id long, text string")
+    assert len(ibans) > 2 and pii.collisions(docs, b"key").count() > 0
+    new = [r.text for r in pii.with_surrogates(docs, b"key").collect()]
+    assert len(set(new)) == len(ibans) and not {f"pay {v} now" for v in ibans} & set(new)
+
+
 def brute_url(url):
     host, path = "", ""
     if url and "://" in url:
