@@ -19,20 +19,23 @@ LOOKAHEAD = 16
 
 def by_deficit(weights: dict[str, float], rows: dict[str, list]) -> Iterator[tuple[str, object, int]]:
     """(source, row, slots) in the order of the stream: each document comes from the source that is
-    furthest behind its share; ends when the chosen source has no more."""
+    furthest behind its share. A source without more rows leaves its share to the others, in
+    proportion to theirs, so every row is drawn once."""
     loaded = dict.fromkeys(weights, 0.0)
     target = dict.fromkeys(weights, 0.0)
     at = dict.fromkeys(weights, 0)
-    names = sorted(n for n, w in weights.items() if w > 0)
+    names = sorted(n for n, w in weights.items() if w > 0 and len(rows.get(n, ())))
+    whole = sum(weights[n] for n in names)
     while names:
         source = max(names, key=lambda n: target[n] - loaded[n])  # the first of equals
-        if at[source] >= len(rows.get(source, ())):
-            return
         row, slots = rows[source][at[source]]
         at[source] += 1
         loaded[source] += slots
         for n in names:
-            target[n] += weights[n] * slots
+            target[n] += weights[n] / whole * slots
+        if at[source] == len(rows[source]):
+            names.remove(source)
+            whole = sum(weights[n] for n in names)
         yield source, row, slots
 
 

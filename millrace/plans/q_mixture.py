@@ -148,28 +148,36 @@ def supervised_token_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = F.least(T.estimate_tokens(F.col("text")), F.lit(1024))
-    return table(spark, sf_dir, "documents").where("source in ('src0', 'src1', 'src2')").select(F.lit(0).alias("run"), "source", F.col("doc_id").alias("row"), slots.alias("slots")).where("slots > 0")
+    source = F.coalesce("source", F.lit("")).alias("source")
+    return table(spark, sf_dir, "documents").select(F.lit(0).alias("run"), source, F.col("doc_id").alias("row"), slots.alias("slots")).where("slots > 0")
 
 
 MIX = {"src0": 0.5, "src1": 0.3, "src2": 0.2}
 
 
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream over all sources: those that MIX doesn't name weigh as much as its least. The
+    driver holds the names of the sources."""
+    rows = stream_rows(spark, sf_dir)
+    names = [r.source for r in rows.select("source").distinct().collect()]
+    return P.deficit_schedule(rows, {n: MIX.get(n, min(MIX.values())) for n in names})
+
+
 @query()
 def deficit_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order in which a mixture's documents are drawn."""
-    return P.deficit_schedule(stream_rows(spark, sf_dir), MIX).select("position", "source", F.col("row").alias("doc_id"), "slots")
+    """The order in which a mixture's documents are drawn, each of them once."""
+    return drawn(spark, sf_dir).select("position", "source", F.col("row").alias("doc_id"), "slots")
 
 
 @query()
 def pack_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture's documents in packs of 2048 slots."""
-    drawn = P.deficit_schedule(stream_rows(spark, sf_dir), MIX)
-    return P.first_fit(drawn, 2048).select("pack", "place", F.col("row").alias("doc_id"), "slots", "bin_offset")
+    return P.first_fit(drawn(spark, sf_dir), 2048).select("pack", "place", F.col("row").alias("doc_id"), "slots", "bin_offset")
 
 
 @query()
 def pack_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = P.first_fit(P.deficit_schedule(stream_rows(spark, sf_dir), MIX), 2048)
+    placed = P.first_fit(drawn(spark, sf_dir), 2048)
     laid = P.pack_layout(placed, 2048)
     return laid.select("pack", "padding", F.sha2(F.array_join(F.col("position_ids").cast("array<string>"), ","), 256).alias("position_digest"), F.array_max("document_ids").alias("last_document"))
 

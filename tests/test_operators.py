@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import chat as C
 from millrace.operators import contamination, dedup, fuzzy, order, pool, tokens, vectors
+from millrace.plans import q_mixture
+from tests.oracle import SF
 
 
 def test_first_rows_don_t_depend_on_partitions(spark):
@@ -73,6 +75,24 @@ def test_deficit_keeps_shares_and_breaks_ties_by_name():
     assert [s for s, _, _ in pool.by_deficit({"b": 1.0, "a": 0.0}, rows)] == ["b"] * 50
 
 
+def test_every_document_is_drawn_and_packed_once(spark):
+    docs = [(r.source, r.doc_id, min(len(r.text) // 4, 1024)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if len(r.text) // 4 > 0]
+    left = {s: sorted((i, n) for t, i, n in docs if t == s) for s in {d[0] for d in docs}}
+    weight, want = {s: q_mixture.MIX.get(s, 0.2) for s in left}, []
+    owed, got = dict.fromkeys(left, 0.0), dict.fromkeys(left, 0.0)
+    while live := sorted(s for s in left if left[s]):  # a plain replay: what each source is owed, less what it got
+        most, whole = max(owed[s] - got[s] for s in live), sum(weight[s] for s in live)
+        source = next(s for s in live if owed[s] - got[s] == most)
+        row, slots = left[source].pop(0)
+        want.append((source, row))
+        got[source] += slots
+        for s in live:
+            owed[s] += weight[s] / whole * slots
+    drawn = [(r.source, r.doc_id) for r in q_mixture.deficit_schedule(spark, SF).orderBy("position").collect()]
+    assert drawn == want and sorted(drawn) == sorted((s, i) for s, i, _ in docs)
+    assert sorted(r.doc_id for r in q_mixture.pack_first_fit(spark, SF).collect()) == sorted(i for _, i, _ in docs)
+
+
 def test_layout_restarts_positions(spark):
     placed = spark.createDataFrame([(0, 0, 0, 3), (0, 0, 1, 2)], "run int, pack long, place long, slots long")
     row = pool.pack_layout(placed, 7).first()
