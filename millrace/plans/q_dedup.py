@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -79,14 +79,30 @@ def benchmark_preseed_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT sha256(string_agg(printf('%d', {HASH}), ',' ORDER BY doc_id)) AS key_digest, count(*) AS n FROM documents WHERE source = 'src3'")
 def ordered_key_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest over the ordered keys of one source, as a frontier records it.
-
-    Ranges of rows are digested as lists; one source's keys are eight bytes a row.
-    """
+    """Digest over the ordered keys of one source, in one list; ``ordered_key_digests`` has all sources."""
     rows = hashed(spark, sf_dir).where("source = 'src3'").agg(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))).alias("k"), F.count(F.lit(1)).alias("n"))
     return rows.select(F.sha2(F.array_join(F.transform("k", lambda x: x["hash"].cast("string")), ","), 256).alias("key_digest"), "n")
 
 
+def digests_of_ranges(rows: DataFrame, every: int = 4096) -> DataFrame:
+    """(source, key_digest, n) from (source, row_idx, hash): each range of so many rows is digested over
+    its ordered 8-byte keys, and a source over the ordered digests of its ranges."""
+    key = F.lpad(F.hex("hash"), 16, "0")
+    in_order = lambda c: F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(c), lambda x: x["v"]), "")), 256)
+    # one key of both, so that ranges aren't dealt by their source alone
+    at = F.struct("source", F.floor(F.col("row_idx") / every).alias("range")).alias("at")
+    ranges = rows.groupBy(at).agg(
+        in_order(F.collect_list(F.struct("row_idx", key.alias("v")))).alias("digest"), F.count(F.lit(1)).alias("n")
+    )
+    return ranges.select("at.*", "digest", "n").groupBy("source").agg(in_order(F.collect_list(F.struct("range", F.col("digest").alias("v")))).alias("key_digest"), F.sum("n").alias("n"))
+
+
+@query()
+def ordered_key_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest over the ordered keys of every source, by ranges of its rows."""
+    return digests_of_ranges(indexed(spark, sf_dir, hash=T.text_hash64(F.col("text"), True)))
+
+
 def bloom_figures(bits: int, fpr: float, keys: int) -> tuple[int, int, float]:
     """(keys at the stated rate, probes, rate at so many keys) of a Bloom filter."""
     nominal = int(bits * math.log(2) ** 2 / -math.log(fpr))
@@ -107,13 +123,13 @@ def bloom_capacity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDED = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx, length(text) // 4 AS tokens FROM documents)"
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def indexed(spark: SparkSession, sf_dir: str, **added: Column) -> DataFrame:
     """Rows with their dense index within the source. Rows are numbered over all sources in order,
     from which each source's first number is taken: a source with most rows is still many ranges."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.estimate_tokens(F.col("text")).alias("tokens"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", T.estimate_tokens(F.col("text")).alias("tokens"), *(c.alias(n) for n, c in added.items()))
     placed = dense_index(rows, [F.col("source"), F.col("doc_id")])
     starts = placed.groupBy("source").agg(F.min("position").alias("start"))
-    return placed.join(starts, "source").select("doc_id", "source", "lang", "tokens", (F.col("position") - F.col("start")).cast("bigint").alias("row_idx"))
+    return placed.join(starts, "source").select("doc_id", "source", "lang", "tokens", *added, (F.col("position") - F.col("start")).cast("bigint").alias("row_idx"))
 
 
 @query(f"{SHARDED} SELECT source, row_idx // 20 AS shard, count(*) AS rows, sum(tokens)::BIGINT AS tokens, sum(least(tokens, 256))::BIGINT AS capped_tokens, min(row_idx) AS first_row FROM r GROUP BY source, shard")

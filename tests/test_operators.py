@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import chat as C
 from millrace.operators import contamination, dedup, fuzzy, order, pool, tokens, vectors
-from millrace.plans import q_mixture
+from millrace.plans import q_dedup, q_mixture
 from tests.oracle import SF
 
 
@@ -135,3 +136,14 @@ def test_opening_lengths(spark):
     for n, good in ((49, False), (50, True), (2000, True), (2001, False)):
         row = conversation(spark, ("user", "q" * 60), ("assistant", "a" * n)).select(C.opening_quality(C.opening_exchange(F.col("m"))).alias("g")).first()
         assert row.g is good
+
+
+def test_every_source_has_a_digest_by_ranges(spark):
+    keys = {}
+    for r in q_dedup.hashed(spark, SF).orderBy("doc_id").collect():
+        keys.setdefault(r.source, []).append(r.hash.to_bytes(8, "big", signed=True))
+    sha = lambda b: hashlib.sha256(b).digest()
+    brute = lambda every: {s: (sha(b"".join(sha(b"".join(k[i : i + every])) for i in range(0, len(k), every))).hex(), len(k)) for s, k in keys.items()}
+    rows = q_dedup.indexed(spark, SF, hash=q_dedup.T.text_hash64(F.col("text"), True))
+    for got, every in ((q_dedup.ordered_key_digests(spark, SF), 4096), (q_dedup.digests_of_ranges(rows, 3), 3)):
+        assert {r.source: (r.key_digest, r.n) for r in got.collect()} == brute(every)
