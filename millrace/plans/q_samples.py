@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,47 @@ def source_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE r AS (SELECT row_idx AS i, tokens FROM ({SHARDED} SELECT * FROM r) WHERE source = 'src4' AND row_idx < 30),
 e AS (SELECT i, tokens::DOUBLE AS ema FROM r WHERE i = 0 UNION ALL SELECT r.i, 0.9 * ema + 0.1 * tokens FROM e JOIN r ON r.i = e.i + 1) SELECT i AS step, round(ema, 6) AS ema FROM e""")
 def ema_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A moving mean (0.9 old, 0.1 new) over the first 30 rows of a source, by weights of the window."""
-    rows = indexed(spark, sf_dir).where("source = 'src4' and row_idx < 30").select(F.col("row_idx").alias("step"), F.col("tokens").cast("double").alias("x"))
-    grown = F.sum(F.when(F.col("step") == 0, F.col("x")).otherwise(F.col("x") * 0.1 * F.pow(F.lit(0.9), -F.col("step")))).over(Window.orderBy("step"))
-    return rows.select("step", F.round(grown * F.pow(F.lit(0.9), F.col("step")), 6).alias("ema"))
+    """The first 30 rows of one source in ``ema_rates``."""
+    return ema_rates(spark, sf_dir).where("source = 'src4' and step < 30").select("step", F.round("ema", 6).alias("ema"))
+
+
+def moving_means(rows: DataFrame, every: int = 4096) -> DataFrame:
+    """(source, step, ema) from (source, step, x), steps 0, 1, ...: a moving mean (0.9 old, 0.1 new).
+
+    Rows are folded in blocks of a source's steps. A block hands on its rows weighted by 0.9 to the
+    distance from its end; the blocks' last values are folded source by source, one row a block.
+    """
+    y = F.when(F.col("step") == 0, F.col("x")).otherwise(F.col("x") * 0.1)
+    rows = rows.withColumn("block", F.floor(F.col("step") / every).cast("bigint"))
+    distance = (F.col("block") + 1) * every - 1 - F.col("step")
+    blocks = rows.groupBy("source", "block").agg(F.sum(y * F.pow(F.lit(0.9), distance)).alias("ends"))
+
+    def carry(group: pd.DataFrame) -> pd.DataFrame:
+        group, value, carried = group.sort_values("block"), 0.0, []
+        for ends in group["ends"]:
+            carried.append(value)
+            value = 0.9**every * value + ends
+        return group.assign(carried=carried)[["source", "block", "carried"]]
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group, out = group.sort_values("step"), []
+        value = group["carried"].iloc[0]
+        for step, x in zip(group["step"], group["x"], strict=True):
+            value = x if step == 0 else 0.9 * value + 0.1 * x
+            out.append(value)
+        return group.assign(ema=out)[["source", "step", "ema"]]
+
+    carried = blocks.groupBy("source").applyInPandas(carry, "source string, block bigint, carried double")
+    # one key of both, so that blocks aren't dealt by their source alone
+    key = F.struct("source", "block").alias("key")
+    carried = carried.select(key, "carried")
+    return rows.select("*", key).join(carried, "key").groupBy("key").applyInPandas(fold, "source string, step bigint, ema double")
+
+
+@query()
+def ema_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moving mean over all rows of every source."""
+    return moving_means(indexed(spark, sf_dir).select("source", F.col("row_idx").alias("step"), F.col("tokens").cast("double").alias("x")))
 
 
 @query("""WITH g AS (SELECT conv_id, count(*) AS n, sum(count(*)) OVER (ORDER BY conv_id) AS upto FROM conversations GROUP BY conv_id) SELECT conv_id, n AS requests, ((upto - n) // 8)::BIGINT AS job FROM g""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import chat as C
 from millrace.operators import contamination, dedup, fuzzy, order, pool, tokens, vectors
-from millrace.plans import q_dedup, q_mixture
+from millrace.plans import q_dedup, q_mixture, q_samples
 from tests.oracle import SF
 
 
@@ -147,3 +147,18 @@ def test_every_source_has_a_digest_by_ranges(spark):
     rows = q_dedup.indexed(spark, SF, hash=q_dedup.T.text_hash64(F.col("text"), True))
     for got, every in ((q_dedup.ordered_key_digests(spark, SF), 4096), (q_dedup.digests_of_ranges(rows, 3), 3)):
         assert {r.source: (r.key_digest, r.n) for r in got.collect()} == brute(every)
+
+
+def test_moving_means_take_all_rows_of_every_source(spark):
+    rng = random.Random(3)
+    sources = {"a": [float(rng.randrange(900)) for _ in range(9000)], "b": [5.0], "c": [0.0, 7.0, 1.0]}
+    df = spark.createDataFrame([(s, i, x) for s, xs in sources.items() for i, x in enumerate(xs)], "source string, step long, x double")
+    for every in (2, 4096):
+        got = {(r.source, r.step): r.ema for r in q_samples.moving_means(df.where("step < 50") if every == 2 else df, every).collect()}
+        for s, xs in sources.items():
+            value = xs[0]
+            for i, x in enumerate(xs[:50] if every == 2 else xs):
+                value = 0.9 * value + 0.1 * x if i else x
+                assert got.pop((s, i)) == pytest.approx(value, rel=1e-9)
+        assert not got
+    assert q_samples.ema_rates(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
