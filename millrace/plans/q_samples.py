@@ -31,17 +31,29 @@ l AS (SELECT doc_id, ids, list_transform(range(1, len(ids) + 1), lambda i: CASE
 SELECT doc_id, greatest(len(ids) - 1, 0) AS slots, array_to_string(ids[1:len(ids) - 1] || list_transform(range((8 - (greatest(len(ids) - 1, 0) % 8)) % 8), lambda i: 2), ',') AS inputs,
   array_to_string(labels[2:], ',') AS labels FROM l WHERE len(list_filter(labels[2:], lambda x: x >= 0)) > 0""")
 def sample_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with masked prompts, shifted and padded; those without a loss are dropped."""
+    """Samples of at most 40 invented ids with masked prompts, shifted and padded; those without a
+    loss are dropped. ``text_labels`` takes whole texts."""
     n = F.least(F.char_length("text"), F.lit(40))
     step = lambda i: F.pmod(i * 37 + F.col("doc_id"), F.lit(130)).cast("int")
     ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), step)).otherwise(F.array().cast("array<int>"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"), F.pmod("doc_id", F.lit(45)).alias("prompt"))
+    return labelled(table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")))
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    rows = rows.select("doc_id", "ids", F.pmod("doc_id", F.lit(45)).alias("prompt"))
     rows = rows.withColumn("labels", S.mask_labels(S.masked_prompt(F.col("ids"), F.col("prompt")), 120)).where(S.has_loss(F.col("labels"), 120))
     joined = lambda c: F.array_join(c.cast("array<string>"), ",")
     inputs = S.shifted_inputs(F.col("ids"))
     return rows.select("doc_id", F.size(inputs).cast("bigint").alias("slots"), joined(S.padded(inputs, 8, 2)).alias("inputs"), joined(S.shifted_labels(F.col("labels"))).alias("labels"))
 
 
+@query()
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``sample_labels`` over whole texts, an id for each character: its code point modulo 130."""
+    ids = F.transform(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda c: F.pmod(F.ascii(c), F.lit(130)).cast("int"))
+    return labelled(table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids")))
+
+
 @query("""WITH old AS (SELECT source, count(*) AS rows FROM documents WHERE source <> 'src1' GROUP BY source), new AS (SELECT source, count(*) + CASE WHEN source = 'src2' THEN 1 ELSE 0 END AS rows FROM documents WHERE source <> 'src0' GROUP BY source)
 SELECT coalesce(old.source, new.source) AS source, old.rows AS old_rows, new.rows AS new_rows FROM old FULL JOIN new ON old.source = new.source WHERE old.rows IS DISTINCT FROM new.rows""")
 def checkpoint_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,3 +162,15 @@ def test_moving_means_take_all_rows_of_every_source(spark):
                 assert got.pop((s, i)) == pytest.approx(value, rel=1e-9)
         assert not got
     assert q_samples.ema_rates(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_labels_cover_whole_texts(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = [ord(c) % 130 for c in r.text]
+        labels = [-100 if i < r.doc_id % 45 or x >= 120 else x for i, x in enumerate(ids)][1:]
+        if any(x >= 0 for x in labels):
+            slots = len(ids) - 1
+            want[r.doc_id] = (slots, ",".join(map(str, ids[:-1] + [2] * (-slots % 8))), ",".join(map(str, labels)))
+    assert {r.doc_id: (r.slots, r.inputs, r.labels) for r in q_samples.text_labels(spark, SF).collect()} == want
+    assert max(n for n, _, _ in want.values()) > 10_000
