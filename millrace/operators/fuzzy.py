@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.sources.storage import cut_lineage
+from millrace.scratch import cut_lineage, dispose
 
 
 def band_shape(threshold: float, minima: int, steps: int = 1000) -> tuple[int, int]:
@@ -70,7 +70,8 @@ def greedy_survivors(member: DataFrame) -> DataFrame:
         settled = cut_lineage(seen.select("row", F.when(F.col("covered"), False).when(F.col("leads"), True).alias("now")).where("now is not null"))
         if settled.isEmpty():
             return state.where("kept = false").select("row").distinct()
-        state = cut_lineage(state.join(settled, "row", "left").select("row", "bucket", F.coalesce("kept", "now").alias("kept")))
+        before, state = state, cut_lineage(state.join(settled, "row", "left").select("row", "bucket", F.coalesce("kept", "now").alias("kept")))
+        dispose(before, settled)
 
 
 def near_dups(docs: DataFrame, order: str, text: str, threshold: float = 0.8, minima: int = 128, words: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.storage import cut_lineage
+from millrace.scratch import cut_lineage
 
 
 def shuffle_key(seed: int, row: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from millrace.operators import fuzzy, order, tokens, vectors
 from millrace.plans.q_dedup import SHARDED, indexed
 from millrace.plans.registry import query, sql_hash, sql_norm, table
 from millrace.sources import readers
-from millrace.sources.storage import shared_dir
+from millrace.scratch import scratch_path
 from millrace.streaming.incremental import stream_dedup
 
 
@@ -93,7 +92,7 @@ def synthetic_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, source, {sql_hash(sql_norm('text'))} AS hash FROM documents QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1")
 def stream_incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' folder as a stream of files, each batch committed once."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     return stream_dedup(spark, f"{sf_dir}/documents.parquet", f"{base}/out", f"{base}/state")
 
 

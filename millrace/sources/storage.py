@@ -1,29 +1,14 @@
-"""Sinks: sharded Parquet with a manifest that commits it, and tables between steps."""
+"""Sinks: sharded Parquet with a manifest that commits it."""
 
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, with no lineage behind it."""
-    path = f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from millrace.scratch import file_system
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -33,12 +18,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def file_system(spark: SparkSession, path: str):  # noqa: ANN201
-    """Hadoop's file system of a path, and the path: works for any store that Spark reads."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, where = file_system(spark, path)
     out = fs.create(where, True)
@@ -53,23 +32,43 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
 
 
-def write_folder(df: DataFrame, path: str, shard_rows: int = 10_000, identity: str = "", tokens: str | None = None) -> dict:
-    """Writes zstd shards of at most ``shard_rows`` rows beside the target, then swaps the folder in
-    and commits it with MANIFEST.json, written last; readers trust only what the manifest lists."""
+def write_folder(df: DataFrame, path: str, shard_rows: int = 10_000, identity: str = "", tokens: str | None = None, extra: dict | None = None) -> dict:
+    """Writes zstd shards of at most ``shard_rows`` rows and MANIFEST.json beside the target, then swaps
+    the whole folder in: the old one is renamed aside, the new one takes its name, and only then the
+    old one goes. Readers trust only what the manifest lists; ``recover`` ends a swap that was cut."""
     spark = df.sparkSession
     fresh = f"{path}.tmp-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", shard_rows).option("compression", "zstd").parquet(fresh)
+    rows = spark.read.parquet(fresh).select(*([tokens] if tokens else []), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"))
+    total = F.when(F.count(tokens) == F.count(F.lit(1)), F.sum(tokens)) if tokens else F.lit(None).cast("bigint")
+    shards = [r.asDict() for r in rows.groupBy(F.col("_file").alias("name")).agg(F.count(F.lit(1)).alias("rows"), total.alias("tokens")).orderBy("name").collect()]
+    manifest = {"identity": identity, "rows": sum(s["rows"] for s in shards), "shards": shards} | (extra or {})
+    write_text(spark, f"{fresh}/MANIFEST.json", json.dumps(manifest, sort_keys=True))
+    swap_in(spark, fresh, path)
+    return manifest
+
+
+def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts a complete folder in another's place."""
     fs, target = file_system(spark, path)
     _, source = file_system(spark, fresh)
+    _, aside = file_system(spark, f"{path}.old")
+    recover(spark, path)
     if fs.exists(target):
-        fs.delete(target, True)
+        fs.rename(target, aside)
     fs.rename(source, target)
-    rows = spark.read.parquet(path).select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"))
-    total = F.when(F.count(tokens) == F.count(F.lit(1)), F.sum(tokens)) if tokens else F.lit(None).cast("bigint")
-    shards = [r.asDict() for r in rows.groupBy(F.col("_file").alias("name")).agg(F.count(F.lit(1)).alias("rows"), total.alias("tokens")).orderBy("name").collect()]
-    manifest = {"identity": identity, "rows": sum(s["rows"] for s in shards), "shards": shards}
-    write_text(spark, f"{path}/MANIFEST.json", json.dumps(manifest, sort_keys=True))
-    return manifest
+    fs.delete(aside, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a swap that was cut: the old folder comes back if nothing took its place, and goes otherwise."""
+    fs, target = file_system(spark, path)
+    _, aside = file_system(spark, f"{path}.old")
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, target)
 
 
 def folder_state(spark: SparkSession, path: str, identity: str) -> str:

@@ -53,6 +53,16 @@ def test_folders_commit_by_manifest(spark, tmp_path):
     assert storage.covered_prefix(["a", "b"], ["a"]) and not storage.covered_prefix(["a", "b"], ["b"])
 
 
+def test_a_cut_swap_is_ended(spark, tmp_path):
+    path = str(tmp_path / "out")
+    storage.write_folder(spark.range(3), path, identity="a")
+    (tmp_path / "out").rename(tmp_path / "out.old")  # as if it broke between the two renames
+    storage.recover(spark, path)
+    assert spark.read.parquet(path).count() == 3 and not (tmp_path / "out.old").exists()
+    storage.write_folder(spark.range(5), path, identity="b")
+    assert spark.read.parquet(path).count() == 5 and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+
+
 def test_synthetic_rows_depend_on_seed_and_row(spark):
     a = {r.id: r.text for r in readers.synthetic_rows(spark, 20, 7).collect()}
     b = {r.id: r.text for r in readers.synthetic_rows(spark, 40, 7).collect()}
