@@ -48,6 +48,13 @@ def write_folder(df: DataFrame, path: str, shard_rows: int = 10_000, identity: s
     return manifest
 
 
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a committed folder. A folder without a manifest isn't one."""
+    if read_text(spark, f"{path}/MANIFEST.json") is None:
+        raise ValueError(f"no manifest in {path}")
+    return spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+
+
 def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
     """Puts a complete folder in another's place."""
     fs, target = file_system(spark, path)
