@@ -1,51 +1,18 @@
-"""Shared pieces of the operators: intermediate tables, block pairs, sorted runs."""
+"""Shared pieces of the operators: block pairs, sorted runs, forests."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
-    and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def unstash(*frames: DataFrame) -> None:
-    """Delete stashed tables that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -55,7 +22,7 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def block_pairs(members: DataFrame, group: str, member: str, block: int, weight: str | None = None, heavy: int = 2_000_000) -> DataFrame:
+def block_pairs(members: DataFrame, group: str, member: str, block: int, weight: str | None = None, heavy: int = 2_000_000, core: str | None = None) -> DataFrame:
     """Deal the members of each group into pairs of blocks of about ``block`` members.
 
     Adds ``b_left`` and ``b_right`` (the pair of blocks) and ``b_own`` (the member's own block).
@@ -63,20 +30,37 @@ def block_pairs(members: DataFrame, group: str, member: str, block: int, weight:
     other block in one pair, so that every two members meet in exactly one pair of blocks and no
     task holds a whole large group. With ``weight``, blocks are also cut so that each weighs about
     ``heavy`` at most.
+
+    With ``core``, members that are known to belong together need not meet: groups of one core are
+    left out, and the blocks of a group's largest core meet those of the others but not each other.
+    So a group of n near copies with m strays takes n * m / block rows and not n * n / block.
     """
     blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))
     if weight:
         blocks = F.greatest(blocks, F.ceil(F.sum(weight) / F.lit(heavy)))
-    sizes = members.groupBy(group).agg(blocks.cast("int").alias("_nb"))
-    many = sizes.where("_nb > 1")
-    own = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.coalesce("_nb", F.lit(1))).cast("int")
+    if core is None:
+        many = members.groupBy(group).agg(blocks.cast("int").alias("_nb")).where("_nb > 1").withColumn("_bulk", F.lit(0))
+        members, other = members.join(many, group, "left"), F.col("_nb")
+        own = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.coalesce("_nb", F.lit(1))).cast("int")
+    else:
+        cores = members.groupBy(group, core).agg(F.count(F.lit(1)).alias("_n"), (F.sum(weight) if weight else F.count(F.lit(1))).alias("_w"))
+        largest = F.max(F.struct("_n", F.col(core).alias("_core"), "_w"))
+        cut = lambda n, w: F.greatest(F.lit(1), F.ceil(n / F.lit(block)), F.ceil(w / F.lit(heavy)) if weight else F.lit(1)).cast("int")
+        sizes = cores.groupBy(group).agg(F.count(F.lit(1)).alias("_cores"), F.sum("_n").alias("_all"), F.sum("_w").alias("_weight"), largest.alias("_top")).where("_cores > 1")
+        small = (F.col("_all") <= block) & (F.col("_weight") <= (heavy if weight else block))
+        few, bulk = cut(F.col("_all") - F.col("_top._n"), F.col("_weight") - F.col("_top._w")), cut(F.col("_top._n"), F.col("_top._w"))
+        sizes = sizes.select(group, F.col("_top._core").alias("_core"), F.when(small, 1).otherwise(few).alias("_nb"), F.when(small, 0).otherwise(bulk).alias("_bulk"))
+        members = members.join(sizes, group)
+        in_bulk = (F.col("_bulk") > 0) & (F.col(core) == F.col("_core"))
+        spread = F.xxhash64(F.col(member), F.lit(7))
+        own = F.when(in_bulk, F.col("_nb") + F.pmod(spread, F.greatest("_bulk", F.lit(1)))).otherwise(F.pmod(spread, F.col("_nb"))).cast("int")
+        other = F.when(in_bulk, F.col("_nb")).otherwise(F.col("_nb") + F.col("_bulk"))
     return (
-        members.join(many, group, "left")
-        .withColumn("b_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1)))
+        members.withColumn("b_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
         .withColumn("b_left", F.least("b_own", "_other"))
         .withColumn("b_right", F.greatest("b_own", "_other"))
-        .drop("_nb", "_other")
+        .drop("_nb", "_bulk", "_core", "_other")
     )
 
 
@@ -116,24 +100,3 @@ def run_starts(columns: list) -> np.ndarray:
         v = c.to_numpy(zero_copy_only=False)
         new[1:] |= v[1:] != v[:-1]
     return np.flatnonzero(new)
-
-
-class Union:
-    """Disjoint sets over 0..n-1; the root is the smallest member."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True

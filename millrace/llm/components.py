@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash, unstash
+from millrace.scratch import cut_lineage, dispose
 
 
 def least_neighbour(edges: DataFrame) -> DataFrame:
@@ -37,15 +37,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Null ends and links of a node to itself are left out. The result is a table in the shared folder.
     """
     clean = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    edges = stash(clean.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    edges = cut_lineage(clean.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     seen = digest(edges)
     while True:
-        least = stash(least_neighbour(edges))
-        large = stash(large_star(edges, least))
-        unstash(edges, least)
-        least = stash(least_neighbour(large))
-        edges = stash(small_star(large, least))
-        unstash(large, least)
+        least = cut_lineage(least_neighbour(edges))
+        large = cut_lineage(large_star(edges, least))
+        dispose(edges, least)
+        least = cut_lineage(least_neighbour(large))
+        edges = cut_lineage(small_star(large, least))
+        dispose(large, least)
         now = digest(edges)
         if now == seen:  # neither star moves an edge: every component is a star
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_pairs, run_starts, sorted_runs, stash
+from millrace.llm.common import block_pairs, run_starts, sorted_runs
+from millrace.scratch import cut_lineage
 from millrace.llm.components import connected_components
 
 
@@ -172,13 +173,13 @@ def near_duplicates(vectors: DataFrame, plan: Plan = Plan(), id_col: str = "vec_
     # the label enters as a hash only: labels may be of any type
     rows = rows.withColumn("lab_key", F.xxhash64("lab")).withColumn("cid", F.when(good, F.xxhash64("lab_key", "vec")))
     grouped = rows.where("cid is not null").groupBy("cid", "lab_key", "vec").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    classes = stash(grouped.withColumn("width", F.size("vec")))
+    classes = cut_lineage(grouped.withColumn("width", F.size("vec")))
     n, width = classes.agg(F.count(F.lit(1)), F.max("width")).first()
-    keyed = stash(with_keys(classes, plan, plan.axes(n, width or 1)))
+    keyed = cut_lineage(with_keys(classes, plan, plan.axes(n, width or 1)))
     member = keyed.select("cid", F.explode(F.array_distinct("keys")).alias("key"), "lab_key", "width").select("cid", "key", F.xxhash64("key", "lab_key", "width").alias("grp"))
     shared = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
     met = block_pairs(member.join(shared, "grp"), "grp", "cid", block).join(keyed.select("cid", "copies", "unit", "keys"), "cid")
-    found = stash(compare(met, plan))
+    found = cut_lineage(compare(met, plan))
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     named = connected_components(found.where("b is not null")).withColumnRenamed("node", "cid")
     known = classes.select("cid", "first_id", "copies").join(named, "cid", "left").withColumn("group", F.coalesce("component", "cid"))

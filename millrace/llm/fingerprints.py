@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import ascii_lower, word_array
 
+
 SHINGLE = 5
 #: Hashes are md5 in hex; those below this prefix are kept: an eighth of the range.
 BELOW = "2"

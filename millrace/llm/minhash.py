@@ -1,18 +1,25 @@
 """MinHash near-deduplication: universal hash minima in bands, verified by signature, then on sets.
 
 1. One pass over the texts gives each document's set size, a digest of its set and its signature;
-   documents with equal sets become one class, so copies cost nothing further.
-2. Classes meet in the buckets of their bands. Within each bucket the signatures are compared, in
-   blocks, and a forest of the pairs that may be similar comes out: their trees are the families.
-3. Within each family, in blocks again, all pairs are confirmed on their full sets; a forest of
-   confirmed links comes out.
-4. The links' components (large-star and small-star) name the groups.
-
-All pairs are looked at inside blocks, none but the edges of forests leave them.
-
-Defined results: null texts, and texts without words, have an empty set and link with nothing; a
-text with fewer words than a shingle is one shingle; rows with a null id join the group of their
-set but never name it, and are kept only where it has no name; repeated rows are one class.
+   documents with equal sets become one class with a number, so copies cost nothing further.
+2. Classes meet in the buckets of their bands. In buckets larger than a block, each member is first
+   confirmed against the bucket's least class on full sets; what is linked so is a core, whose members
+   need not be compared with each other any more. A bucket of one core is done.
+3. Within the other buckets the signatures are compared across cores, in blocks, and a forest of the
+   pairs that may be similar comes out: their trees are the families.
+4. Within each family of several cores, in blocks again, all pairs across cores are confirmed on their
+   full sets; a forest of confirmed links comes out.
+5. The links' components (large-star and small-star) are the groups, named by their smallest id.
+
+All pairs are looked at inside blocks, none but the edges of forests leave them. A group of n copies
+near its least one costs n comparisons; only strays meet all others.
+
+Defined results: null texts, and texts without words, have an empty set and link with nothing; a text
+with fewer words than a shingle is one shingle; documents are told apart by set, so equal ids with
+different texts are documents of their own that share a name at most; rows with a null id are in the
+group of their set but never name it, and are kept only where it has no name; repeated rows are one
+class. Of each group one (id, mark) is ``chosen``: the smallest id and, among texts of the same id,
+the smallest hash of the text.
 """
 
 from __future__ import annotations
@@ -25,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_pairs, run_starts, sorted_runs, stash
+from millrace.llm.common import block_pairs, run_starts, sorted_runs
+from millrace.scratch import cut_lineage
 from millrace.llm.components import connected_components
 
 U = np.uint64
@@ -234,24 +242,27 @@ def common_counts(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
 BLOCK_KEYS = ["grp", "b_left", "b_right"]
 
 
-def forest(pairs: DataFrame, plan: Plan, exact: bool) -> DataFrame:
-    """Spanning edges (a, b) of the similar pairs in each pair of blocks."""
+def forest(pairs: DataFrame, plan: Plan, exact: bool, star: bool = False) -> DataFrame:
+    """Spanning edges (a, b) of the similar pairs across cores in each pair of blocks; with ``star``
+    only pairs with the member of block 0 are looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(plan.words)
         for group in grouped(batches, BLOCK_KEYS):
-            ids = group.column("id").to_numpy()
+            ids = group.column("cid").to_numpy()
             own = group.column("b_own").to_numpy()
+            _, label = np.unique(group.column("core").to_numpy(), return_inverse=True)
             cross = group.column("b_left")[0].as_py() != group.column("b_right")[0].as_py()
             short = None if exact else np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(len(ids), -1)
             near = None
             if exact:
                 sets = list(shingler.sets(group.column("text").combine_chunks()))
-                size, common = np.array([len(x) for x in sets]), common_counts(sets)
+                size = np.array([len(x) for x in sets])
+                common = hub_counts(sets, np.flatnonzero(own == 0)) if star else common_counts(sets)
                 near = plan.den * common >= plan.num * (size[:, None] + size - common)
-            label, a, b = np.arange(len(ids)), [], []
-            for i in range(len(ids) - 1):
-                js = np.arange(i + 1, len(ids))
+            a, b = [], []
+            for i in np.flatnonzero(own == 0) if star else range(len(ids) - 1):
+                js = np.arange(0 if star else i + 1, len(ids))
                 js = js[label[js] != label[i]]
                 if cross:
                     js = js[own[js] != own[i]]
@@ -264,35 +275,70 @@ def forest(pairs: DataFrame, plan: Plan, exact: bool) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    columns = ["id", "b_own", *BLOCK_KEYS, "text" if exact else "short"]
-    return pairs.select(*columns).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "a bigint, b bigint")
+    columns = ["cid", "core", "b_own", *BLOCK_KEYS, "text" if exact else "short"]
+    return pairs.select(*columns).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS, "cid").mapInArrow(run, "a bigint, b bigint")
+
+
+def hub_counts(sets: list[np.ndarray], hubs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections with the hubs only; the others are left at zero."""
+    out = np.zeros((len(sets), len(sets)))
+    for i in hubs:
+        out[i] = [np.isin(s, sets[i], assume_unique=True).sum() for s in sets]
+    return out
+
+
+def star_blocks(pairs: DataFrame, block: int, heavy: int = 2_000_000) -> DataFrame:
+    """Block pairs of hubs and their members, from distinct (cid, hub, n_shingles): a hub meets its
+    members in as many blocks as their number and weight ask for."""
+    sizes = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / heavy)).cast("int").alias("_nb"))
+    deal = (F.pmod(F.xxhash64("cid"), F.col("_nb")) + 1).cast("int")
+    dealt = pairs.join(sizes, "hub").select("cid", F.col("hub").alias("grp"), F.lit(0).alias("b_left"), deal.alias("b_right"), F.lit(1).alias("b_own"))
+    hubs = dealt.select(F.col("grp").alias("cid"), "grp", "b_left", "b_right", F.lit(0).alias("b_own")).distinct()
+    return dealt.unionByName(hubs).withColumn("core", F.col("cid"))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:  # noqa: B008
-    """(id, n_shingles, component, kept) of every row."""
+    """(id, mark, n_shingles, component, kept, chosen) of every row; ``mark`` is xxhash64 of the text."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.withColumn("mark", F.xxhash64("text"))
-    signed = stash(sign(texts, plan))
-    # equal sets are one class, named by its smallest id
-    first = F.min(F.struct("id", "mark", "n_shingles", "bands", "short"))
-    classes = stash(signed.where("n_shingles > 0 and id is not null").groupBy("set_key").agg(first.alias("c")).select("set_key", "c.*"))
-    member = classes.select("id", "short", F.explode("bands").alias("grp"))
+    signed = cut_lineage(sign(texts, plan))
+    # equal sets are one class; its first row by id stands for it
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "n_shingles", "bands", "short"))
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(first.alias("c")).select(F.monotonically_increasing_id().alias("cid"), "set_key", "c.*")
+    classes = cut_lineage(classes)  # the numbers are fixed from here on
+    member = classes.select("cid", "short", "n_shingles", F.explode("bands").alias("grp"))
     # buckets that hold the same classes are looked at once
-    buckets = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")).where("n > 1")
-    chosen = buckets.groupBy("n", "lo", "sum").agg(F.min("grp").alias("grp")).select("grp")
-    met = member.join(chosen, "grp")
-    families = connected_components(forest(block_pairs(met, "grp", "id", 2 * block), plan, False))
-    named = families.select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    named = named.unionByName(named.select(F.col("grp").alias("id"), "grp").distinct())
-    close = classes.select("id", "mark", "n_shingles").join(named, "id").join(texts, ["id", "mark"]).dropDuplicates(["id"])
-    links = connected_components(forest(block_pairs(close, "grp", "id", block, "n_shingles"), plan, True))
-    named = classes.join(links, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component"))
+    buckets = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lo"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sum")).where("n > 1")
+    chosen = buckets.groupBy("n", "lo", "sum").agg(F.min("grp").alias("grp")).select("grp", "n", F.col("lo").alias("hub"))
+    met = cut_lineage(member.join(chosen, "grp"))
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        found = rows.select("cid").distinct().join(classes.select("cid", "id", "mark"), "cid")
+        found = found.join(texts.withColumnRenamed("id", "t_id"), F.col("id").eqNullSafe(F.col("t_id")) & (found["mark"] == texts["mark"]))
+        return rows.join(found.select("cid", "text").dropDuplicates(["cid"]), "cid")
+
+    stars = met.where((F.col("n") > 2 * block) & (F.col("cid") != F.col("hub"))).select("cid", "hub", "n_shingles").distinct()
+    dealt = star_blocks(stars, block)
+    alike = forest(dealt.join(classes.select("cid", "short"), "cid"), plan, False, star=True)  # by signature first
+    stars = cut_lineage(alike.select(F.col("a").alias("hub"), F.col("b").alias("cid")).join(classes.select("cid", "n_shingles"), "cid"))
+    cores = cut_lineage(forest(with_texts(star_blocks(stars, block)), plan, True, star=True))
+    core_of = connected_components(cores).withColumnsRenamed({"node": "c_id", "component": "core"})
+    cored = lambda rows: rows.join(core_of, F.col("cid") == F.col("c_id"), "left").withColumn("core", F.coalesce("core", "cid")).drop("c_id")
+    alike = forest(block_pairs(cored(met.select("grp", "cid", "short")), "grp", "cid", 2 * block, core="core"), plan, False)
+    families = connected_components(alike.unionByName(cores))
+    named = families.select(F.col("node").alias("cid"), F.col("component").alias("grp"))
+    named = named.unionByName(named.select(F.col("grp").alias("cid"), "grp").distinct())
+    close = block_pairs(cored(named).join(classes.select("cid", "n_shingles"), "cid"), "grp", "cid", block, "n_shingles", core="core")
+    links = connected_components(forest(with_texts(close), plan, True).unionByName(cores))
+    grouping = classes.join(links, F.col("cid") == F.col("node"), "left").select("set_key", F.coalesce("component", "cid").alias("cluster"), "no_id", "id", "mark")
+    least = grouping.groupBy("cluster").agg(F.min(F.struct("no_id", "id", "mark")).alias("l")).select(F.col("cluster").alias("c"), F.col("l.id").alias("component"), F.col("l.mark").alias("c_mark"))
+    known = grouping.select("set_key", "cluster").join(least, F.col("cluster") == F.col("c")).select("set_key", "component", "c_mark")
+    wordless = F.col("n_shingles") == 0
     return (
-        signed.select("id", "n_shingles", "set_key")
-        .join(named, "set_key", "left")
-        .select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
-        .withColumn("kept", F.when(F.col("id").isNull(), F.col("component").isNull()).otherwise(F.col("id") == F.col("component")))
+        signed.select("id", "mark", "n_shingles", "set_key")
+        .join(known, "set_key", "left")
+        .withColumn("component", F.when(wordless, F.col("id")).otherwise(F.col("component")))
+        .withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
+        .withColumn("chosen", wordless | (F.col("kept") & (F.col("mark") == F.col("c_mark"))))
+        .select("id", "mark", "n_shingles", "component", "kept", "chosen")
     )
-
-
-

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash
+from millrace.scratch import cut_lineage
 
 #: Fixed patterns of the strong kinds in their order; which group's length counts; its least length.
 KINDS = (
@@ -91,7 +91,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         match_spans(text, WEAK, mixed).alias("weak"),
         match_spans(text, ENDPOINT, lambda hit: hit.isNotNull(), "://").alias("endpoint"),
     )
-    parts = stash(parts)
+    parts = cut_lineage(parts)
     # the candidates of a text against its complementary parts; cells of one scope's length make the
     # interval join an equality join, and each cell keeps only its outermost bounds
     both = parts.where((F.size("weak") > 0) & (F.size("access") + F.size("endpoint") > 0))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash
+from millrace.scratch import cut_lineage
 
 #: Groups, or partial partitions, that one task combines.
 CHUNK = 4096
@@ -80,12 +80,12 @@ def spread_groups(groups: DataFrame, shards: int, chunk: int = CHUNK) -> DataFra
     nodes = max(1, -(-n // chunk))
     schema = "part string, node bigint, sums array<bigint>, goes array<bigint>"
     dealt = groups.withColumn("node", F.pmod(F.xxhash64("part"), F.lit(nodes)))
-    level = stash(dealt.groupBy("node").applyInPandas(combiner(shards, leaves), schema))
+    level = cut_lineage(dealt.groupBy("node").applyInPandas(combiner(shards, leaves), schema))
     placed = level.where("part is not null").select("part", "node", F.element_at("goes", 1).alias("slot"))
     while nodes > 1:
         fewer = max(1, -(-nodes // chunk))
         up = level.where("part is null").select(F.col("node").cast("string").alias("part"), F.pmod("node", F.lit(fewer)).alias("node"), "sums")
-        level = stash(up.groupBy("node").applyInPandas(combiner(shards, partials), schema))
+        level = cut_lineage(up.groupBy("node").applyInPandas(combiner(shards, partials), schema))
         moves = level.where("part is not null").select(F.col("part").cast("long").alias("from"), F.col("node").alias("up"), "goes")
         placed = placed.join(moves, F.col("node") == F.col("from")).select(placed["part"], F.col("up").alias("node"), F.expr("goes[cast(slot as int)]").alias("slot"))
         nodes = fewer
@@ -98,7 +98,7 @@ def numbered(rows: DataFrame, shards: int, order: list[Column]) -> DataFrame:
     Rows of a shard are numbered within ranges by hash, and each range starts where those before
     it end; the table of starts has shards x RANGES rows.
     """
-    ranged = stash(rows.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(RANGES)).cast("int")))
+    ranged = cut_lineage(rows.withColumn("_range", F.pmod(F.xxhash64(*order), F.lit(RANGES)).cast("int")))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -118,7 +118,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     rows = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("part")
     )
-    rows = stash(rows)
+    rows = cut_lineage(rows)
     placed = spread_groups(rows.groupBy("part").agg(F.sum("size").alias("size")), shards)
     return numbered(rows.join(placed, "part"), shards, [F.col("id"), F.col("part")]).drop("part")
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, components, embeddings, fingerprints, minhash, packing, pii, secrets, sharding, toxicity, urls
+from millrace.llm import bpe, common, components, embeddings, fingerprints, minhash, packing, pii, secrets, sharding, toxicity, urls
 from millrace.llm.oracles import ORACLES, URL_RULES
 from millrace.llm.queries import QUERIES
 from tests.oracle import SF, duck_rows, spark_rows
@@ -94,6 +94,52 @@ def test_minhash_against_all_pairs(spark):
         assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def groups_of_rows(rows, words, num):
+    """(id, n_shingles, name) of each row: every row is a document, whatever its id."""
+    sets = [shingle_set(t, words) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    of = brute_components(range(len(rows)), links)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[of[i]] = min(d, least.get(of[i], d))
+    return sorted(((d, len(sets[i]), least.get(of[i])) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_minhash_repeated_and_null_ids(spark):
+    """Texts that share an id are documents of their own, and none of their links is lost."""
+    rng = random.Random(12)
+    long_text = lambda: " ".join(str(rng.randrange(5000)) for _ in range(120))
+    x, y, z = long_text(), long_text(), long_text()
+    for ids in ((4, 5, 6, 7), (5, 5, 6, 7), (5, 5, 5, 7), (None, 5, 6, None), (None, None, None, None)):
+        rows = [*zip(ids, (x, y, x + " end", y + " end"), strict=True), (5, z), (9, z), (9, z), (None, z), (None, "a"), (None, "a"), (3, ""), (3, "")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for block in (1, 256):
+            found = minhash.near_duplicates(docs, block=block).collect()
+            assert sorted(((r.id, r.n_shingles, r.component) for r in found), key=str) == groups_of_rows(rows, 5, 80)
+            chosen = {(r.id, r.mark) for r in found if r.chosen and r.n_shingles}
+            named = {r.component for r in found if r.n_shingles and r.component is not None}
+            assert {i for i, _ in chosen if i is not None} == named
+
+
+def test_known_cores_keep_block_pairs_linear(spark):
+    """Copies near one core are dealt once for each block of strays, and strays meet everything."""
+    rows = [(7, i, 1 if i >= 20 else 100 + i, 3) for i in range(1020)] + [(8, i, 5, 3) for i in range(900)] + [(9, i, i, 3) for i in range(10)]
+    members = spark.createDataFrame(rows, "grp long, cid long, core long, w long")
+    got = common.block_pairs(members, "grp", "cid", 32, "w", core="core").collect()
+    assert {r.grp for r in got} == {7, 9} and sum(r.cid >= 20 for r in got) == 1000 and len(got) < 1000 + 20 * 40 + 10
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.grp, r.b_left, r.b_right), []).append(r)
+    met = {}
+    for (grp, left, right), own in blocks.items():
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                if a.core != b.core and (left == right or a.b_own != b.b_own):
+                    met[grp, min(a.cid, b.cid), max(a.cid, b.cid)] = met.get((grp, min(a.cid, b.cid), max(a.cid, b.cid)), 0) + 1
+    assert set(met.values()) == {1} and len(met) == 20 * 1000 + 20 * 19 // 2 + 45
+
+
 def test_minhash_odd_rows(odd, none):
     got = sorted(((r.id, r.n_shingles > 0, r.component) for r in minhash.near_duplicates(odd).collect()), key=str)
     assert got == sorted([(1, False, 1), (2, False, 2), (3, False, 3), (4, True, 4), (5, True, 5), (5, True, 5), (6, True, 5), (None, True, 4), (7, True, 7)], key=str)
