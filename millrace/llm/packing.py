@@ -7,12 +7,15 @@ piece's source nor its duplicate cluster. Bins are kept by residual; a bitmap ov
 the successor, and the search goes on through them until a compatible bin is found.
 
 Defined results: null and empty texts have length 0 and take part like others; null sources conflict
-with nothing; null texts are no duplicates of each other; ties go to the smaller id and then the
-older bin; an empty table gives no rows; repeated rows are separate pieces of one cluster.
+with nothing; null texts are no duplicates of each other; pieces of one length are placed by id, source
+and cluster; among bins of one residual the older is taken; an empty table gives no rows; repeated rows,
+and rows without an id, are pieces of their own (of one cluster, if their texts are equal), so that no
+bin is ever fuller than its capacity.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable
 
 import pandas as pd
@@ -68,7 +71,7 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
             held_clusters.append(0)
         held_sources[b] |= source
         held_clusters[b] |= cluster
-        by_residual[residual - length].append(b)
+        insort(by_residual[residual - length], b)  # the older bin first
         filled |= 1 << (residual - length)
         out.append((b, capacity - residual))
     return out
@@ -79,24 +82,26 @@ def text_cluster(text: Column) -> Column:
     return F.md5(F.array_join(word_array(ascii_lower(text)), " "))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, shard: int = SHARD) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None, tokens_col: str | None = None, shard: int = SHARD) -> DataFrame:
     """One row for each piece: (bin, id, piece, start, length, bin_offset, source, cluster).
 
-    ``start`` counts tokens from the beginning of the document. Without ``cluster_col`` the cluster
-    is that of equal texts. Only ids, lengths and keys are shuffled.
+    ``start`` counts tokens from the beginning of the document. Without ``tokens_col`` a token is four
+    characters; without ``cluster_col`` the cluster is that of equal texts (near copies are one cluster
+    only if a column says so). Only ids, lengths and keys are shuffled.
     """
-    length = F.ceil(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) / 4).cast("long")
+    length = F.col(tokens_col) if tokens_col else F.ceil(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) / 4)
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.when(F.col(text_col).isNotNull(), text_cluster(F.col(text_col)))
-    items = docs.select(F.col(id_col).alias("id"), length.alias("tokens"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
+    items = docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("tokens"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
+    items = items.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
     shards = max(1, -(-docs.count() // shard))
     whole = F.floor(F.col("tokens") / capacity).cast("int")
     full = items.where(whole > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), whole - 1)))
     full = full.select(
-        F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("null")), "cluster", "piece").alias("bin"),
+        F.concat_ws("-", F.lit("full"), "row", "piece").alias("bin"),
         "id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).cast("long").alias("length"), F.lit(0).cast("long").alias("bin_offset"), "source", "cluster",
     )
-    rest = items.select("id", whole.alias("piece"), (F.col("tokens") % capacity).alias("length"), "source", "cluster").where("length > 0 or piece = 0")
-    rest = rest.withColumn("shard", F.pmod(F.xxhash64("id", "cluster"), F.lit(shards)))
+    rest = items.select("id", "row", whole.alias("piece"), (F.col("tokens") % capacity).alias("length"), "source", "cluster").where("length > 0 or piece = 0")
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "row"), F.lit(shards))).drop("row")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "source", "cluster"], ascending=[False, True, True, True], kind="stable")

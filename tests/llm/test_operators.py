@@ -360,51 +360,69 @@ def test_urls(spark):
 
 
 def brute_best_fit(pieces, capacity):
+    """(bin, offset) of each piece: the least residual that suffices, without conflict, the oldest of equals."""
     bins, out = [], []
     for length, source, cluster in pieces:
         fit = [(c, i) for i, (c, s, k) in enumerate(bins) if c >= length and (source is None or source not in s) and (cluster is None or cluster not in k)]
         if not fit:
             bins.append([capacity, set(), set()])
             fit = [(capacity, len(bins) - 1)]
-        c, i = min(fit, key=lambda f: f[0])
-        out.append(c)
+        c, i = min(fit)
+        out.append((i, capacity - c))
         bins[i] = [c - length, bins[i][1] | {source}, bins[i][2] | {cluster}]
-    return out, len(bins)
+    return out
 
 
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = random.Random(6)
-    for _ in range(60):
-        pieces = sorted(((rng.randrange(0, 40), rng.choice("abcdef") if rng.random() < 0.9 else None, rng.choice([None, 1, 2, 3])) for _ in range(60)), key=lambda p: -p[0])
-        placed = packing.best_fit([p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], 40)
-        for b in {b for b, _ in placed}:
-            own = [(p, at) for p, (c, at) in zip(pieces, placed, strict=True) if c == b]
-            assert sum(p[0] for p, _ in own) <= 40 and [at for _, at in own] == list(np.cumsum([0, *(p[0] for p, _ in own)])[:-1])
-            for i in (1, 2):
-                keys = [p[i] for p, _ in own if p[i] is not None]
-                assert len(keys) == len(set(keys))
-        if len({p[1] for p in pieces}) > 1:  # residuals when placed: those of plain best fit at the first piece at least
-            assert 40 - placed[0][1] == brute_best_fit(pieces, 40)[0][0]
-    pieces = [(5, None, None), (4, None, None), (4, None, None), (3, None, None), (2, None, None)]
-    placed = packing.best_fit([p[0] for p in pieces], [None] * 5, [None] * 5, 9)
-    assert [9 - at for _, at in placed] == brute_best_fit(pieces, 9)[0]
-
-
-def test_packing_odd_rows(odd, none):
-    rows = packing.pack_documents(odd, capacity=512).collect()
-    whole = sorted((r.id, r.piece) for r in rows if r.id == 6)
-    n = -(-len(LONG) // 4)
-    assert whole == [(6, i) for i in range(n // 512 + 1)] and sum(r.length for r in rows if r.id == 6) == n
-    assert {r.id for r in rows} == {d for d, _, _ in ODD}
+    for capacity in (9, 40, 200):
+        for _ in range(80):
+            pieces = [(rng.randrange(0, capacity + 1), rng.choice("abcdef") if rng.random() < 0.9 else None, rng.choice([None, 1, 2, 3])) for _ in range(60)]
+            if rng.random() < 0.7:
+                pieces.sort(key=lambda p: -p[0])
+            assert packing.best_fit([p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces], capacity) == brute_best_fit(pieces, capacity)
+
+
+def check_bins(rows, lengths, capacity):
+    """No bin over its capacity or with two pieces of a source or cluster; every token in one piece."""
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin, []).append(r)
+    for own in bins.values():
+        own.sort(key=lambda r: (r.bin_offset, r.length))
+        assert sum(r.length for r in own) <= capacity
+        assert [r.bin_offset for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+        for key in ("source", "cluster"):
+            held = [r[key] for r in own if r[key] is not None]
+            assert len(held) == len(set(held))
+    want = [(d, i, i * capacity, min(capacity, n - i * capacity)) for d, n in lengths for i in range(max(1, -(-n // capacity)))]
+    assert sorted(((r.id, r.piece, r.start, r.length) for r in rows), key=str) == sorted(want, key=str)
+
+
+def test_packing_odd_rows(spark, odd, none):
+    """All bins, full ones too, with repeated rows and null ids longer than a bin."""
     for shard in (2, 4096):
-        bins = {}
-        for r in packing.pack_documents(odd, capacity=512, shard=shard).collect():
-            bins.setdefault(r.bin, []).append(r)
-        assert all(sum(r.length for r in b) <= 512 for k, b in bins.items() if k.startswith("pack"))
-        assert all(len({r.source for r in b if r.source}) == len([r for r in b if r.source]) for k, b in bins.items() if k.startswith("pack"))
+        check_bins(packing.pack_documents(odd, capacity=512, shard=shard).collect(), [(d, -(-len(t or "") // 4)) for d, t, _ in ODD], 512)
+    texts = [(None, "x" * 9000), (None, "x" * 9000), (1, "x" * 9000), (1, "x" * 9000), (1, "y" * 8192), (2, None), (2, "z" * 2047)]
+    docs = spark.createDataFrame([(d, t, s) for d, t in texts for s in ("s", None)], "doc_id long, text string, source string")
+    check_bins(packing.pack_documents(docs, capacity=512).collect(), [(d, -(-len(t or "") // 4)) for d, t in texts for _ in "ab"], 512)
     assert packing.pack_documents(none).count() == 0
 
 
+def test_the_query_packs_as_brute_force_does(spark):
+    """Every placement of the registered query on the small table, which is one shard."""
+    rows = QUERIES["op7_best_fit_packing"](spark, SF).withColumnRenamed("doc_id", "id").collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    check_bins(rows, [(d.doc_id, -(-len(d.text or "") // 4)) for d in docs], packing.CAPACITY)
+    rest = [r for r in rows if r.bin.startswith("pack")]
+    rest.sort(key=lambda r: (-r.length, r.id))
+    want = brute_best_fit([(r.length, r.source, r.cluster) for r in rest], packing.CAPACITY)
+    assert [(r.bin, r.bin_offset) for r in rest] == [(f"pack-0-{b}", at) for b, at in want]
+    same = lambda t: " ".join(re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    cluster = {d.doc_id: hashlib.md5(same(d.text).encode()).hexdigest() for d in docs}
+    assert all(r.cluster == cluster[r.id] for r in rows)
+
+
 def test_differencing():
     sums = np.zeros((5, 2), np.int64)
     sums[:, 0] = [8, 7, 6, 5, 4]
