@@ -4,15 +4,22 @@ Every kind of value is written as a number in the range of all values of its sha
 digits, vowels stay vowels, check digits are recomputed) and moved by a keyed permutation of that
 range without fixed points. So equal values get equal surrogates wherever they stand (coreference),
 different values get different ones (distinctness), no table of values is needed, and the result
-doesn't depend on partitions. Given names move within the names of their gender and script.
+doesn't depend on partitions. Given names move within the names of their gender and script; other
+words of names keep the ending that shows a gender.
 
-The surnames of a shape move among those without a listed ending, given name or title, so that their
-surrogates don't meet those of other words. ``with_surrogates`` checks the corpus for surrogates that
-two values share (``collisions``) before it replaces anything, and moves all but one of them on.
+Every shape's range is closed: what may not come out of it (unissued numbers, listed endings, given
+names and titles) may not go in either and has a range of its own, so the surrogates of two shapes
+never meet. ``with_surrogates`` still checks the whole corpus for surrogates that two values share
+(``collisions``) before it replaces anything, moves all but one of them on, and says so in the row.
+
+Names are found by a list of given names, by titles, and by what stands before them (salutations,
+"my name is", "Contact:"), given names that no list has included; a name's words are found again in
+the rest of the text.
 
 Defined results: a null text stays null; a text without entities stays as it is; values that overlap
-are taken in the order of KINDS, then leftmost; repeated rows get equal results; columns of the
-input keep their names and order, and added ones replace any of the same name.
+are taken in the order of KINDS, then leftmost; repeated rows get equal results; a name without any
+letter of the classes (LETTERS) keeps it; columns of the input keep their names and order, and added
+ones replace any of the same name.
 """
 
 from __future__ import annotations
@@ -31,19 +38,36 @@ KINDS = ("email", "iban", "ip", "card", "ssn", "phone", "name")
 
 #: Fixed given names by script and gender.
 GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Charlotte Chloé Claire Elena Emily Emma Eva Hannah Heidi Isabel Jane Julia Karen Laura Linda Lucía Marie Mary Nancy Patricia Sabine Sarah Sofia Susan Ursula".split(),
-    ("latin", "m"): "Andreas Antoine Carlos Charles Daniel David Diego Edward Frank François George Günther Hans Henri James Javier Jean John José Klaus Louis Luis Michael Miguel Paul Peter Pierre Robert Thomas William Wolfgang".split(),
-    ("cyrillic", "f"): "Анна Екатерина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия".split(),
-    ("cyrillic", "m"): "Александр Алексей Андрей Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
+    ("latin", "f"): """
+        Alice Amelia Amy Anna Astrid Barbara Beatriz Brigitte Camille Carmen Charlotte Chloé Claire Clara Diana Elena Elizabeth Emily Emma Eva Fatima Giulia Grace
+        Hannah Heidi Helen Ines Ingrid Isabel Jane Jennifer Jessica Julia Karen Katharina Laura Lena Linda Lisa Lucía Margaret Maria Marie Mary Mia Monika Nancy
+        Nicole Olivia Patricia Petra Rachel Sabine Sandra Sarah Sofia Sophie Susan Teresa Ursula Victoria""".split(),
+    ("latin", "m"): """
+        Alexander Andreas Antoine Antonio Benjamin Bernd Carlos Charles Christian Daniel David Diego Edward Eric Fernando Florian Frank François George Günther Hans
+        Henri Jack James Jan Javier Jean Jesús John Jorge José Juan Jürgen Klaus Lars Louis Luca Luis Marco Mark Martin Matteo Michael Miguel Mohammed Nicolas Noah
+        Oliver Pablo Paul Peter Philippe Pierre Richard Robert Stefan Steven Thomas Walter William Wolfgang""".split(),
+    ("cyrillic", "f"): "Анастасия Анна Екатерина Елена Ирина Людмила Мария Наталья Ольга Светлана Татьяна Юлия".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Борис Владимир Дмитрий Иван Михаил Николай Павел Сергей Юрий".split(),
     ("greek", "f"): "Άννα Ελένη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Κώστας Νίκος Παύλος".split(),
 }
 #: Fixed titles that a surname follows.
-TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
+TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Herrn Monsieur Madame Mme Señor Señora Sr Sra".split()
+#: Fixed words between a given name and a surname.
+PARTICLES = "van von zu de den der del della di da la le du dos el bin al ibn".split()
+#: Fixed phrases that a name of two words or more follows.
+CUES = """
+Dear|Contact|Name|From|Author|Signed|Sincerely|Regards|[Mm]y name is|named|signed by|written by|Liebe|Lieber|Sehr geehrter|Sehr geehrte|Hallo|Ansprechpartner|[Mm]ein Name ist
+[Ii]ch heiße|Cher|Chère|Bonjour|[Jj]e m'appelle|Estimado|Estimada|Querido|Querida|Hola|[Mm]e llamo|[Mm]i nombre es|Уважаемый|Уважаемая|Дорогой|Дорогая|[Мм]еня зовут|Αγαπητέ|Αγαπητή|[Μμ]ε λένε
+"""
 #: Fixed classes of letters that stand for each other.
-LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
-#: Fixed endings of surnames that show the gender.
-ENDINGS = ("ова", "ева", "ина", "ская", "ский", "ов", "ев", "ин")
+LETTERS = (
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâãäåéèêëíìîïóòôõöøúùûü", "çñšžčćđłńśźżřťďğş", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ",
+)
+#: Fixed endings of names that show the gender; none ends another.
+ENDINGS = ("a", "ski", "ова", "ева", "ина", "ская", "ский", "ов", "ев", "ин")
+#: Fixed country codes of one digit and of two; all others have three.
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 CLASS = {c: group for group in LETTERS for c in group}
 
@@ -188,40 +212,62 @@ class Surrogates:
         return "".join(c if c == " " else next(it) for c in text)
 
     def iban_of(self, raw: str) -> str:
-        body = self.reshaped("iban", raw[4:])
-        return f"{raw[:2]}{98 - mod97(raw[:2] + '00' + body):02d}{body}"
+        """Check digits of 00, 01 and 99 say the same as 97, 98 and 02; bodies that have such a second
+        form are moved among themselves for it, so that it stays one."""
+        check = lambda body: 98 - mod97(raw[:2] + "00" + body)
+        second = int(raw[2:4]) != check(raw[4:])
+        body = self.reshaped("iban2" if second else "iban", raw[4:])
+        while second and check(body) not in OTHER_CHECK:
+            body = self.reshaped("iban2", body)
+        return f"{raw[:2]}{OTHER_CHECK[check(body)] if second else check(body):02d}{body}"
 
     def _ip(self, text: str) -> str:
-        parts = [int(x) for x in text.split(".")]
-        private = lambda n: (n >> 24) in (0, 10, 127) or (n >> 24) >= 224 or (n >> 20) == 0xAC1 or (n >> 16) == 0xC0A8
-        n = int.from_bytes(bytes(parts), "big")
-        kind, move = private(n), self.permutation("ip", 1 << 32)
-        m = move(n)
-        while private(m) != kind:  # walk on to an address of the same sort
-            m = move(m)
+        """Addresses of a special range stay in it; the others stay outside of all."""
+        n = int.from_bytes(bytes(map(int, text.split("."))), "big")
+        within = lambda n: next((r for r in SPECIAL if r[0] <= n < r[0] + r[1]), None)
+        if own := within(n):
+            m = own[0] + self.permutation(f"ip{own}", own[1])(n - own[0])
+        else:
+            move = self.permutation("ip", 1 << 32)
+            m = move(n)
+            while within(m):
+                m = move(m)
         return ".".join(map(str, m.to_bytes(4, "big")))
 
     def _ssn(self, text: str) -> str:
+        """Numbers that could be issued become such numbers; the others stay among the others."""
         d = text.replace("-", "")
-        return self.digits("ssn", text, str(self.permutation("ssn", 10**9)(int(d))).zfill(9))
+        if issued(d):
+            area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+            n = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+            n, serial = divmod(self.permutation("ssn", 898 * 99 * 9999)(n), 9999)
+            area, group = divmod(n, 99)
+            area += 1 + (area >= 665)
+            return self.digits("ssn", text, f"{area:03d}{group + 1:02d}{serial + 1:04d}")
+        move = self.permutation("ssn-unissued", 10**9)
+        n = move(int(d))
+        while issued(f"{n:09d}"):
+            n = move(n)
+        return self.digits("ssn", text, f"{n:09d}")
 
     def _phone(self, text: str) -> str:
-        """The country code stays; area and subscriber numbers that don't begin with 0 or 1 go on not to."""
-        code = m[0] if (m := re.match(r"\+[0-9]{1,3}(?=[ .(-])", text)) else ""
+        """The country code stays, and so does a 0 or 1 where an area or a subscriber number begins;
+        other digits there go on not to be 0 or 1."""
+        code = country_code(text)
         rest = text[len(code) :]
         d = re.sub("[^0-9]", "", rest)
-        radix = [8 if d[i] not in "01" and i in (0, 3) else 10 for i in range(len(d))]
+        groups = ["0123456789" if i not in (0, 3) else c if c in "01" else "23456789" for i, c in enumerate(d)]
         value, total = 0, 1
-        for c, r in zip(d, radix, strict=True):
-            value, total = value * r + int(c) - (2 if r == 8 else 0), total * r
-        value, out = self.permutation(f"phone{code}{radix}", total)(value), []
-        for r in reversed(radix):
-            value, at = divmod(value, r)
-            out.append(str(at + (2 if r == 8 else 0)))
+        for c, group in zip(d, groups, strict=True):
+            value, total = value * len(group) + group.index(c), total * len(group)
+        value, out = self.permutation(f"phone{code}:{len(d)}:{groups[0]}:{groups[min(3, len(d) - 1)]}", total)(value), []
+        for group in reversed(groups):
+            value, at = divmod(value, len(group))
+            out.append(group[at])
         return code + self.digits("phone", rest, "".join(reversed(out)))
 
     def _name(self, text: str) -> str:
-        return " ".join(self.given(w) if w in NAME_OF else w if w.rstrip(".") in TITLES else self.surname(w) for w in text.split(" "))
+        return " ".join(self.given(w) if w in NAME_OF else w if w in PARTICLES or w.rstrip(".") in TITLES else self.surname(w) for w in text.split(" "))
 
     def given(self, name: str) -> str:
         pool, at = NAME_OF[name]
@@ -236,11 +282,17 @@ class Surrogates:
 NAME_OF = {name: (pool, i) for pool, names in GIVEN.items() for i, name in enumerate(names)}
 #: Words that surnames don't become, by ending and without it.
 STEMS = {e: tuple(sorted(w[: len(w) - len(e)] for w in {*NAME_OF, *TITLES} if ending_of(w) == e)) for e in ("", *ENDINGS)}
+#: Fixed special ranges of addresses, as their first one and size: this network, private, loopback,
+#: link-local, private, private, multicast, reserved.
+SPECIAL = [(a << 24 | b << 16, 1 << 32 - bits) for a, b, bits in ((0, 0, 8), (10, 0, 8), (127, 0, 8), (169, 254, 16), (172, 16, 12), (192, 168, 16), (224, 0, 4), (240, 0, 4))]
+#: Second forms of check digits.
+OTHER_CHECK = {97: 0, 98: 1, 2: 99}
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-CAPITAL = r"[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ][a-zß-öø-ÿά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+UPPER, LOWER = ("".join(c for c in map(chr, range(0x41, 0x530)) if c.isalpha() and test(c)) for test in (str.isupper, str.islower))
+CAPITAL = rf"(?:[{UPPER}]['’])?[{UPPER}][{LOWER}]+(?:[-'’]?[{UPPER}][{LOWER}]+)*"
 #: Fixed shapes of the kinds.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    "email": re.compile(r"""(?:\w[\w.%+'-]{0,63}|"[^"@\n]{1,60}")@(?:[\w-]+\.)+[^\W\d_]{2,24}(?!\w)"""),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"),
     "ip": re.compile(rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])"),
@@ -254,11 +306,23 @@ PATTERNS = {
     ),
 }
 DIGITS = re.compile(r"[0-9][0-9 .()-]{5}")
-PAIR = re.compile(rf"({CAPITAL}) ({CAPITAL})")
-CAPITALISED = re.compile(r"\b[A-ZÀ-ÖØ-ÞΆ-ΫА-ЯЁ]\w+")
+CAPITALISED = re.compile(rf"(?<!\w){CAPITAL}(?!\w)")
+CUE = re.compile(rf"(?<!\w)(?:{'|'.join(CUES.split(chr(10))[1:-1])})[:,]?\s+")
+BETWEEN = re.compile(rf" (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}")
 TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({CAPITAL})(?: ({CAPITAL}))?")
 
 
+def issued(digits: str) -> bool:
+    """Whether a social security number of nine digits could have been issued."""
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
+
+
+def country_code(text: str) -> str:
+    """The country code of a number that begins with +, set apart or not."""
+    d = re.sub("[^0-9]", "", text[:12]) if text.startswith("+") else ""
+    return "+" + next((d[:n] for n in (1, 2) if d[:n] in CODES), d[:3]) if d else ""
+
+
 def valid(kind: str, text: str) -> bool:
     if kind == "card":
         d = re.sub("[^0-9]", "", text)
@@ -285,25 +349,32 @@ def valid_part(kind: str, m: re.Match) -> tuple[int, int] | None:
 
 
 def name_spans(text: str) -> Iterator[tuple[int, int]]:
-    """Given name and surname, title and surname, and either again once they were so found."""
-    known = set()
-    for m in PAIR.finditer(text):
-        if m[1] in NAME_OF:
-            known.update((m[1], m[2]))
-            yield m.span()
+    """Given names and a surname, title and surname, words that a phrase introduces, and each of their
+    words again where it stands alone."""
+    known: set[str] = set()
+    words = [(m.start(), m.end(), m[0]) for m in CAPITALISED.finditer(text)]
+    introduced = {m.end() for m in CUE.finditer(text)}
+    after = 0  # words up to here belong to the name before
+    for i, (a, b, word) in enumerate(words):
+        given = word in NAME_OF
+        if i < after or not (given or a in introduced) or word in TITLES:
+            continue
+        last = i
+        while last + 1 < len(words) and (last == i or words[last][2] in NAME_OF) and BETWEEN.fullmatch(text, words[last][1], words[last + 1][0]):
+            last += 1
+        if last > i:
+            after = last + 1
+            known.update(w for _, _, w in words[i:after])
+            yield a, words[last][1]
     for m in TITLED.finditer(text):
-        whole = m[2] and m[1] in NAME_OF
+        whole = m[2] and (m[1] in NAME_OF or m[2] in known)
         known.update((m[1], m[2]) if whole else (m[1],))
         yield m.start(1), m.end(2) if whole else m.end(1)
     known.difference_update(TITLES)
     if known:
-        for m in CAPITALISED.finditer(text):
-            if m[0] in known:
-                yield m.span()
-    for name in known:
-        if "-" in name:
-            for m in re.finditer(rf"\b{name}\b", text):
-                yield m.span()
+        for a, b, word in words:
+            if word in known:
+                yield a, b
 
 
 def gaps(taken: list[tuple[int, int, str]], n: int) -> Iterator[tuple[int, int]]:
@@ -360,26 +431,28 @@ def replace(text: str, to: Surrogates) -> tuple[str, list[tuple[int, int, str]]]
 
 
 def with_surrogates(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """The rows with texts replaced, and ``n_entities`` and ``entity_kinds`` (sorted, with counts)."""
+    """The rows with texts replaced, and ``n_entities``, ``entity_kinds`` (sorted, with counts) and
+    ``n_collisions``: how many of them had to be moved on because another value had their surrogate."""
     further = resolved(docs, key, text_col)
 
-    @F.pandas_udf("text string, n_entities int, entity_kinds string")
+    @F.pandas_udf("text string, n_entities int, entity_kinds string, n_collisions int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         to = Surrogates(key, further)
         for texts in batches:
             rows = []
             for t in texts:
                 if t is None:
-                    rows.append((None, 0, ""))
+                    rows.append((None, 0, "", 0))
                     continue
                 new, found = replace(t, to)
                 kinds = [k for _, _, k in found]
-                rows.append((new, len(found), ",".join(f"{k}:{kinds.count(k)}" for k in sorted(set(kinds)))))
-            yield pd.DataFrame(rows, columns=["text", "n_entities", "entity_kinds"])
+                moved = sum((k, t[a:b]) in further for a, b, k in found) if further else 0
+                rows.append((new, len(found), ",".join(f"{k}:{kinds.count(k)}" for k in sorted(set(kinds))), moved))
+            yield pd.DataFrame(rows, columns=["text", "n_entities", "entity_kinds", "n_collisions"])
 
-    names = [c for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds", "_run")]
+    names = [c for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds", "n_collisions", "_run")]
     out = docs.select(*names, run(text_col).alias("_run"))
-    return out.select(*(F.col("_run.text").alias(c) if c == text_col else F.col(c) for c in names), "_run.n_entities", "_run.entity_kinds")
+    return out.select(*(F.col("_run.text").alias(c) if c == text_col else F.col(c) for c in names), "_run.n_entities", "_run.entity_kinds", "_run.n_collisions")
 
 
 def entity_table(docs: DataFrame, key: bytes, text_col: str = "text", further: dict[tuple[str, str], int] | None = None) -> DataFrame:
@@ -395,8 +468,8 @@ def entity_table(docs: DataFrame, key: bytes, text_col: str = "text", further: d
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text", further: dict[tuple[str, str], int] | None = None) -> DataFrame:
-    """(kind, surrogate, values, first) of surrogates that more than one value got; none are expected
-    but of values that differ in a check digit only."""
+    """(kind, surrogate, values, first) of surrogates that more than one value got. None are expected:
+    each shape's map is one to one, and shapes have ranges of their own."""
     found = entity_table(docs, key, text_col, further)
     return found.groupBy("kind", "surrogate").agg(F.count("value").alias("values"), F.min("value").alias("first")).where("values > 1")
 
