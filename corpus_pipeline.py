@@ -46,10 +46,11 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.with_surrogates(docs, PII_KEY)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
+    return pii.with_surrogates(rows, PII_KEY).select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
