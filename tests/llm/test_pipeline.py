@@ -16,11 +16,12 @@ def pipeline():
 
 
 def test_stages_on_the_small_table(spark, pipeline):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("kept")).withColumn("grp", F.lit(1))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit("kept") for c in ("score", "grp", "n_entities", "id", "mark", "row")})
     columns, before = docs.columns, docs
     for name, stage in pipeline.STAGES[:-1]:
         after = stage(spark, before, SF)
         assert after.columns == columns and after.count() <= before.count(), name
+        assert after.where("score <> 'kept' or n_entities <> 'kept' or id <> 'kept' or mark <> 'kept' or row <> 'kept'").count() == 0
         if name == "near_dedup":
             texts = [r.text for r in after.collect()]
             assert len(texts) == len(set(texts))
