@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier whose scores don't change when identity terms are swapped.
 
 Features are the words of a text and the beginnings of words (stems), each present or not. From a
-bounded sample of labelled rows, the features that tell the classes apart best are chosen and
-weighted by logistic regression with a ridge and a counterfactual term: wherever a sentence of the
-sample names a group, the term is swapped for another of its kind, and the squared change of the
-score is added to the loss. A group that is only mentioned then carries no weight of its own.
+bounded sample of labelled rows, the features that tell the classes apart best are chosen, those of
+identity terms are added, and all are weighted by logistic regression with a ridge and a counterfactual
+term: wherever a sentence of the sample names a group, the sentence is also taken with each other term
+of the same kind in its place and with none, and the squared change of its score, averaged over these
+alternatives, is added to the loss. A group that is only mentioned then carries no weight of its own.
 
 Defined results: null and empty texts have no features and get the base rate; labels that are null
-are left out, and of repeated labels the larger counts; without labels of both classes every text
-gets a base rate below one half; very long texts are read whole; repeated rows score alike.
+are left out, and of repeated labels the larger counts; of repeated ids the least text is learned from;
+without labels of both classes every text gets a base rate below one half; very long texts are read
+whole; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.scratch import cut_lineage, dispose
+
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 STEMS = (3, 4, 5, 6)
@@ -55,19 +58,23 @@ inmigrantes refugiados extranjeros
 """
 
 
-def swaps() -> dict[str, str]:
-    """Each identity term and the next of its line."""
-    out: dict[str, str] = {}
+def alternatives() -> dict[str, list[str]]:
+    """For each identity term the others of its line, and the empty one."""
+    out: dict[str, list[str]] = {}
     for line in IDENTITIES.split("\n"):
         terms = line.split()
-        for a, b in zip(terms, terms[1:] + terms[:1], strict=True):
-            out.setdefault(a, b)
+        for a in terms:
+            out.setdefault(a, [*(b for b in terms if b != a), ""])
     return out
 
 
+ALTERNATIVES = alternatives()
+
+
 @dataclass(frozen=True)
 class Plan:
-    """``sample``: most labelled rows that are read for fitting, the first by hash of the id."""
+    """``sample``: most labelled rows that are read for fitting, the first by hash of the id;
+    ``least_docs``: how many of them a feature must occur in."""
 
     sample: int = 8000
     features: int = 1024
@@ -90,6 +97,9 @@ class Model:
 
 
 def word_features(word: str) -> list[int]:
+    """The word and its beginnings; identity terms have no beginnings, which other words would weigh."""
+    if word in ALTERNATIVES:
+        return [zlib.crc32(word.encode())]
     return [zlib.crc32(word.encode()), *(zlib.crc32(b"^" + word[:n].encode()) for n in STEMS if len(word) > n)]
 
 
@@ -102,93 +112,98 @@ def is_held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str, text_col: str, label_col: str) -> pd.DataFrame:
-    """Features and counterfactual differences of the sample; at most ``plan.sample`` labels are
-    sent to the documents, so the texts are read in place and not shuffled."""
+def swapped(text: str) -> Iterator[tuple[set[int], set[int], float]]:
+    """(features that come, features that go, weight) for each sentence, identity term and alternative."""
+    for sentence in SENTENCE.findall(text):
+        words = WORD.findall(sentence)
+        for term in sorted(set(words) & ALTERNATIVES.keys()):
+            before, rest = {f for w in set(words) for f in word_features(w)}, {f for w in set(words) - {term} for f in word_features(w)}
+            for new in ALTERNATIVES[term]:
+                after = rest | set(word_features(new)) if new else rest
+                yield after - before, before - after, 1 / len(ALTERNATIVES[term])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, plan: Plan, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(y, features, pairs) of the sample; at most ``plan.sample`` labels are sent to the documents, so
+    the texts are read in place and only the sample's are shuffled."""
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y")).where("l_id is not null and y is not null")
-    known = known.where(~is_held_out("l_id")).groupBy("l_id").agg(F.max("y").alias("y"))
+    known = known.where(~is_held_out("l_id")).groupBy("l_id").agg((F.max("y") > 0).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("l_id"), "l_id").limit(plan.sample)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("l_id"))
-    other = swaps()
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+    @F.pandas_udf("features array<bigint>, pairs array<struct<more:array<bigint>,less:array<bigint>,weight:double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = []
+            for text in texts.str.lower():
+                pairs = [{"more": sorted(more), "less": sorted(less), "weight": weight} for more, less, weight in swapped(text)]
+                out.append((sorted(text_features(text)), pairs))
+            yield pd.DataFrame(out, columns=["features", "pairs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            feats, plus, minus = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text.lower()
-                feats.append(np.array(sorted(text_features(text)), "<u4").tobytes())
-                more, less = set(), set()
-                for sentence in SENTENCE.findall(text):
-                    for term in set(WORD.findall(sentence)) & other.keys():
-                        less.update(word_features(term))
-                        more.update(word_features(other[term]))
-                plus.append(np.array(sorted(more - less), "<u4").tobytes())
-                minus.append(np.array(sorted(less - more), "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats), pa.array(plus), pa.array(minus)], names=["y", "feats", "plus", "minus"])
+    return rows.select("id", "y", run("text").alias("r")).select("id", "y", "r.*")
 
-    found = rows.select("y", "text", "id").mapInArrow(run, "y int, feats binary, plus binary, minus binary").toPandas()
-    return found.sort_values(["y", "feats"], kind="stable", ignore_index=True)  # sums in the same order each time
 
+def choose(sample: DataFrame, plan: Plan, n: int, n_pos: int) -> np.ndarray:
+    """The features whose presence tells most about the class (log-likelihood ratio), and all of
+    identity terms that occur. At most ``plan.features`` and the terms' leave the executors."""
+    count = sample.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("k"), F.sum("y").alias("pos"))
 
-def gain(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """How much each feature's presence tells about the class (log-likelihood ratio)."""
-    def part(k: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
-        rate = np.clip(rate, 1e-12, 1 - 1e-12)
-        return k * np.log(rate) + (n - k) * np.log(1 - rate)
+    def part(k: Column, total: Column, rate: Column) -> Column:
+        rate = F.least(F.greatest(rate, F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(rate) + (total - k) * F.log(1 - rate)
 
-    both = (pos + neg) / (n_pos + n_neg)
-    return part(pos, n_pos, pos / n_pos) + part(neg, n_neg, neg / n_neg) - part(pos, n_pos, both) - part(neg, n_neg, both)
+    neg, both, n_neg = F.col("k") - F.col("pos"), F.col("k") / n, n - n_pos
+    worth = part(F.col("pos"), F.lit(n_pos), F.col("pos") / n_pos) + part(neg, F.lit(n_neg), neg / n_neg) - part(F.col("pos"), F.lit(n_pos), both) - part(neg, F.lit(n_neg), both)
+    count = count.where(F.col("k") >= plan.least_docs)
+    best = count.orderBy(F.round(worth, 6).desc(), "f").limit(plan.features).select("f")
+    terms = count.where(F.col("f").isin(sorted({f for term in ALTERNATIVES for f in word_features(term)}))).select("f")
+    return np.array(sorted(r.f for r in best.union(terms).distinct().collect()), np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:  # noqa: B008
-    rows = training_rows(docs, labels, plan, id_col, text_col, label_col)
-    y = (rows["y"].to_numpy() > 0).astype(float) if len(rows) else np.zeros(0)
-    n, n_pos = len(y), int(y.sum())
+    sample = cut_lineage(training_rows(docs, labels, plan, id_col, text_col, label_col))
+    n, n_pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < n_pos < n:
+        dispose(sample)
         return Model({}, float(np.log(0.05 / 0.95)))
-    read = lambda c: [np.frombuffer(b, "<u4") for b in rows[c]]
-    feats = read("feats")
-    ids, count = np.unique(np.concatenate(feats), return_counts=True)
-    of_toxic, count_toxic = np.unique(np.concatenate([f for f, toxic in zip(feats, y, strict=True) if toxic]), return_counts=True)
-    pos = np.zeros(len(ids))
-    pos[np.searchsorted(ids, of_toxic)] = count_toxic
-    worth = np.where(count >= plan.least_docs, gain(pos, count - pos, n_pos, n - n_pos), -1.0)
-    chosen = ids[np.sort(np.argsort(-worth, kind="stable")[: plan.features])]
+    chosen = choose(sample, plan, n, n_pos)
+    held = F.array(*(F.lit(int(f)) for f in chosen))
+    places = lambda c: F.array_intersect(c, held)
+    rows = sample.select("y", "id", places(F.col("features")).alias("f")).orderBy("y", F.xxhash64("id"), "id").toPandas()
+    pairs = sample.select(F.explode("pairs").alias("p")).select(places(F.col("p.more")).alias("more"), places(F.col("p.less")).alias("less"), F.col("p.weight").alias("weight"))
+    pairs = pairs.where(F.size("more") + F.size("less") > 0).groupBy("more", "less").agg(F.round(F.sum("weight"), 6).alias("weight")).orderBy("more", "less").toPandas()
+    dispose(sample)
     k = len(chosen)
+    x = np.zeros((n, k + 1), np.float32)
+    x[:, k] = 1  # the bias
+    for i, f in enumerate(rows["f"]):
+        x[i, np.searchsorted(chosen, f)] = 1
+    swap = np.zeros((len(pairs), k + 1))
+    for i, (more, less) in enumerate(zip(pairs["more"], pairs["less"], strict=True)):
+        swap[i, np.searchsorted(chosen, more)] += 1
+        swap[i, np.searchsorted(chosen, less)] -= 1
+    fixed = np.diag(np.r_[np.full(k, plan.ridge), 1e-6]) + plan.counterfactual * (swap.T * pairs["weight"].to_numpy(float)) @ swap
+    w = newton(x, rows["y"].to_numpy(float), fixed, plan.rounds)
+    return Model({int(i): float(v) for i, v in zip(chosen, w, strict=False)}, float(w[k]))
 
-    def columns(f: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(chosen, f), k - 1)
-        return at[chosen[at] == f]
 
-    x = np.zeros((n, k + 1))
-    x[:, k] = 1  # the bias
-    for i, f in enumerate(feats):
-        x[i, columns(f)] = 1
-    del feats
-    pairs = []
-    for more, less in zip(read("plus"), read("minus"), strict=True):
-        if not len(less):
-            continue
-        change = np.zeros(k + 1)
-        change[columns(more)] += 1
-        change[columns(less)] -= 1
-        if change.any():
-            pairs.append(change)
-    swap = np.array(pairs)
-    fixed = np.diag(np.r_[np.full(k, plan.ridge), 1e-6])
-    if len(swap):
-        fixed += plan.counterfactual * swap.T @ swap
-    w = np.zeros(k + 1)
-    w[k] = np.log(n_pos / (n - n_pos))
-    for _ in range(plan.rounds):  # Newton's method
+def newton(x: np.ndarray, y: np.ndarray, fixed: np.ndarray, rounds: int, rows: int = 1024) -> np.ndarray:
+    """Weights with the least log loss plus w'fixed w / 2; the last column is the bias."""
+    w = np.zeros(x.shape[1])
+    w[-1] = np.log(y.sum() / (len(y) - y.sum()))
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (p - y) + fixed @ w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + fixed
+        curve = fixed.copy()
+        for i in range(0, len(x), rows):  # the matrix in parts, to hold it once only
+            part = x[i : i + rows].astype(float)
+            curve += (part * (p * (1 - p))[i : i + rows, None]).T @ part
         step = np.linalg.solve(curve, slope)
         w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-4:
             break
-    return Model({int(i): float(v) for i, v in zip(chosen, w, strict=False)}, float(w[k]))
+    return w
 
 
 class Known(dict):

@@ -245,22 +245,90 @@ def labelled(spark, n=600):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
 
 
+def score_of(model, text):
+    """The score by the definition: the weights of the features that a text has."""
+    z = model.bias + sum(w for f, w in model.weights.items() if f in toxicity.text_features(text))
+    return 1 / (1 + np.exp(-z))
+
+
 def test_toxicity_on_held_out_rows_and_swaps(spark):
     docs, labels, truth = labelled(spark)
     model = toxicity.fit(docs, labels)
     got = {r.doc_id: r for r in toxicity.with_scores(docs, model).collect()}
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum(got[i].predicted == truth[i] for i in held) / len(held) > 0.97
+    assert all(abs(r.score - score_of(model, r.text)) < 1e-9 for r in got.values())
     plain = toxicity.fit(docs, labels, toxicity.Plan(counterfactual=0.0))
 
     def gap(m):
-        score = lambda t: m.score({f for f in toxicity.text_features(t) if f in m.weights})
-        return max(abs(score(f"a {g} man") - score("a christian man")) for g in ("muslim", "jewish", "hindu"))
+        return max(abs(score_of(m, f"a {g} man") - score_of(m, "a christian man")) for g in ("muslim", "jewish", "hindu"))
 
     assert gap(model) < gap(plain) / 2
     assert toxicity.fit(docs, labels) == model  # the same from run to run
 
 
+def test_false_positives_on_neutral_mentions(spark):
+    """A group is named in most toxic rows and few others, and half of the toxic rows hold no insult: without
+    the penalty neutral mentions are rejected, with it they aren't, and insults still are."""
+    rng = random.Random(21)
+    words = [f"word{i}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = rng.random() < 0.3
+        text = [rng.choice(words) for _ in range(15)]
+        if toxic and rng.random() < 0.5:
+            text[0] = rng.choice(["grubble", "grubbles"])
+        if rng.random() < (0.8 if toxic else 0.05):
+            text[3] = rng.choice(["muslim", "muslim", "jewish"])
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [" ".join(["the", g, *(rng.choice(words) for _ in range(10))]) for g in ("muslim", "jewish", "christian", "hindu") for _ in range(50)]
+    insults = [" ".join(["a", "grubble", *(rng.choice(words) for _ in range(10))]) for _ in range(50)]
+    on, off = toxicity.fit(docs, labels), toxicity.fit(docs, labels, toxicity.Plan(counterfactual=0.0))
+    wrong = lambda m: sum(score_of(m, t) >= 0.5 for t in neutral) / len(neutral)
+    assert wrong(off) > 0.3 and wrong(on) < 0.05, (wrong(off), wrong(on))
+    assert sum(score_of(on, t) >= 0.5 for t in insults) > 45
+
+
+def test_swaps_by_sentence_and_alternative():
+    other = toxicity.ALTERNATIVES
+    got = list(toxicity.swapped("old young elderly. a jewish man said"))
+    rows = [(s, t, n) for s in ("old young elderly", "a jewish man said") for t in sorted(set(s.split()) & other.keys()) for n in other[t]]
+    assert len(got) == len(rows) == 3 * 3 + 6 + 4
+    for (more, less, weight), (s, t, n) in zip(got, rows, strict=True):
+        before, after = toxicity.text_features(s), toxicity.text_features(re.sub(rf"\b{t}\b", n, s))
+        assert (more, less) == (after - before, before - after) and weight == 1 / len(other[t])
+    assert any(less for _, less, _ in got[:9])
+    assert all(toxicity.word_features(t) == [zlib.crc32(t.encode())] for t in other)  # not tied to other words by a stem
+
+
+def test_weights_minimise_the_stated_loss(spark):
+    """The slope of log loss, ridge and counterfactual term is zero at the fitted weights, worked out from the texts."""
+    docs, labels, truth = labelled(spark, 200)
+    plan = toxicity.Plan(features=60)
+    model = toxicity.fit(docs, labels, plan)
+    texts = {r.doc_id: r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    slope = {f: plan.ridge * w for f, w in model.weights.items()}
+    for i, t in texts.items():
+        for f in toxicity.text_features(t) & slope.keys():
+            slope[f] += score_of(model, t) - truth[i]
+        for more, less, weight in toxicity.swapped(t):
+            change = {f: 1 for f in more} | {f: -1 for f in less}
+            moved = sum(model.weights.get(f, 0) * c for f, c in change.items())
+            for f in change.keys() & slope.keys():
+                slope[f] += plan.counterfactual * weight * moved * change[f]
+    assert max(map(abs, slope.values())) < 1e-3 and len(slope) >= 10
+
+
+def test_the_query_scores_whole_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op2_toxicity"](spark, SF).collect():
+        assert abs(r.score - score_of(model, texts[r.doc_id] or "")) < 1e-9 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     docs, labels, _ = labelled(spark)
     out = toxicity.with_scores(odd, toxicity.fit(docs, labels)).collect()
