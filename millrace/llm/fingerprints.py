@@ -5,8 +5,10 @@ is the union of the sketches and the containment of a short text in a long one c
 The smallest hash is always kept as well (the smallest of a union is the smallest of the smallest),
 so that only texts without words have an empty sketch.
 
-Defined results: null and blank texts have the empty sketch; two empty sketches are alike (1.0);
-a text of fewer words than a shingle is one shingle; rows that tie on the id are ordered by text.
+Defined results: null and blank texts have the empty sketch; two empty sketches are alike (1.0), and
+an empty one is contained in any; a text of fewer words than a shingle is one shingle; ids may be of any
+type that has an order; rows that tie on the id are ordered by the xxhash64 of their texts, descending
+like the ids, and null ids come last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ascii_lower, word_array
+from millrace.scratch import cut_lineage, dispose
 
 
 SHINGLE = 5
@@ -68,30 +71,41 @@ def written(hashes: Column) -> Column:
     return F.array_join(hashes, ",")
 
 
-#: Intervals between quantiles that the ids are cut into first, each then evenly into cells.
-INTERVALS = 64
 #: Rows of a cell, as long as there are at most so many cells.
-CELL_ROWS, MOST_CELLS = 2000, 100_000
+CELL_ROWS, MOST_CELLS = 2000, 200_000
 
 
-def id_cells(docs: DataFrame, id_col: str) -> Column:
-    """A number that rises with the id and is shared by some 2000 neighbouring rows; -1 for nulls."""
-    v = F.col(id_col).cast("double")
-    n, low, high = docs.agg(F.count(v), F.min(v), F.max(v)).first()
-    if not n:
-        return F.lit(-1)
-    cuts = sorted({low, *docs.select(v.alias("v")).approxQuantile("v", [i / INTERVALS for i in range(1, INTERVALS)], 1 / (8 * INTERVALS)), high})
-    share = max(1, round(n / max(1, len(cuts) - 1) / max(CELL_ROWS, n / MOST_CELLS)))
+def cell_of(key: Column, bounds: Column, n: int) -> Column:
+    """How many of the n sorted bounds are at most the key, found by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
-    def pick(a: int, b: int) -> Column:
-        """The cell among the intervals a to b-1, found by halving."""
-        if b - a <= 1:
-            at = F.floor((v - cuts[a]) / ((cuts[b] - cuts[a]) or 1.0) * share) if b > a else F.lit(0)
-            return F.least(F.lit(share - 1), at).cast("int") + a * share
-        mid = (a + b) // 2
-        return F.when(v < cuts[mid], pick(a, mid)).otherwise(pick(mid, b))
+    def halve(at: Column, b: Column, k: Column) -> Column:
+        mid = F.shiftright(at["lo"] + at["hi"], 1)
+        up = (at["lo"] < at["hi"]) & (F.get(b, mid) <= k)
+        return F.struct(F.when(up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(up, at["hi"]).otherwise(mid).alias("hi"))
 
-    return F.when(v.isNull(), -1).otherwise(pick(0, len(cuts) - 1))
+    rounds = F.array(*(F.lit(i) for i in range(n.bit_length() + 1)))
+    # the key is bound once: the inner lambda reads it as a variable
+    return F.element_at(F.transform(F.array(key), lambda k: F.aggregate(rounds, start, lambda at, _: halve(at, bounds, k))["lo"]), 1)
+
+
+def id_cells(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """From (id, tie, turn): each cell's first (id, tie), descending, and the expression of the cell.
+
+    Cells are ranges of (id, tie, turn) with about the same number of rows whatever the ids are:
+    they come from Spark's range partitioning of these narrow keys. ``turn`` only parts equal rows.
+    """
+    keys = cut_lineage(rows.select(F.struct("id", "tie", "turn").alias("key")))
+    cells = max(1, min(MOST_CELLS, keys.count() // CELL_ROWS))
+    parts = keys.repartitionByRange(cells, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"), F.max("key").alias("top"))
+    parts = cut_lineage(parts)
+    found = parts.agg(F.array_sort(F.collect_list("key")).alias("b"))
+    shape = found.schema["b"].dataType
+    written_, n = found.select(F.to_json("b", {"ignoreNullFields": "false"}), F.size("b")).first()
+    dispose(keys)
+    bounds = F.from_json(F.lit(written_), shape)
+    cell = lambda key: cell_of(key, bounds, n)
+    return parts.select(cell(F.col("key")).alias("cell"), F.col("top.id").alias("f_id"), F.col("top.tie").alias("f_tie")), cell(F.struct("id", "tie", "turn"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, below: str = BELOW) -> DataFrame:
@@ -104,11 +118,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    rows = rows.select("id", "text", F.xxhash64("text").alias("tie"), id_cells(rows, "id").alias("cell"))
-    firsts = rows.groupBy("cell").agg(F.max(F.struct("id", "tie")).alias("f"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("turn"))
+    firsts, cell = id_cells(rows)
+    rows = rows.withColumn("cell", cell).drop("turn")
     every = Window.orderBy(F.col("cell").desc())  # a row for each cell
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.select(F.coalesce(F.lag("cell").over(every), F.last("cell").over(whole)).alias("follows"), F.col("f.id").alias("f_id"), F.col("f.tie").alias("f_tie"))
+    firsts = firsts.select(F.coalesce(F.lag("cell").over(every), F.last("cell").over(whole)).alias("follows"), "f_id", "f_tie")
     shown = sketch(F.col("text"), size, below)
     borders = (
         rows.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("f_id")) & (F.col("tie") == F.col("f_tie")))
@@ -141,4 +156,6 @@ def digest(found: DataFrame) -> DataFrame:
         written(F.col("edited_print")).alias("edited_fingerprint"),
         resemblance(F.col("print"), F.col("edited_print")).alias("near_edited"),
         resemblance(F.col("print"), F.col("next_print")).alias("near_next"),
+        containment(F.col("print"), F.col("edited_print")).alias("in_edited"),
+        containment(F.col("print"), F.col("next_print")).alias("in_next"),
     )

@@ -100,6 +100,10 @@ def likeness_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END::DOUBLE"
 
 
+def contained_sql(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / len({a}) END::DOUBLE"
+
+
 FINGERPRINTS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (
@@ -108,7 +112,7 @@ n AS (
   SELECT *, length(text) AS n_chars, substring(text, 1, length(text) - length(text) // 2) || substring(after, 1, length(text) // 2) AS edited FROM n
 ), f AS (SELECT *, {sketch_sql("text")} AS f, {sketch_sql("edited")} AS g, {sketch_sql("after")} AS h FROM e)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, array_to_string(f, ',') AS fingerprint, array_to_string(g, ',') AS edited_fingerprint,
-  {likeness_sql("f", "g")} AS near_edited, {likeness_sql("f", "h")} AS near_next FROM f
+  {likeness_sql("f", "g")} AS near_edited, {likeness_sql("f", "h")} AS near_next, {contained_sql("f", "g")} AS in_edited, {contained_sql("f", "h")} AS in_next FROM f
 """
 
 

@@ -218,6 +218,25 @@ def test_fingerprints_odd_rows(spark, odd, none):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("kind", ["unique", "clustered", "text", "tied", "null", "equal"])
+def test_next_documents_by_plain_order(spark, monkeypatch, kind):
+    """Small cells over ids of all sorts: the ring of (id, hash of the text), descending, nulls last."""
+    monkeypatch.setattr(fingerprints, "CELL_ROWS", 7)
+    rng = random.Random(7)
+    ids = {
+        "unique": rng.sample(range(10_000), 150), "clustered": [*range(100), *rng.sample(range(10**9, 10**12), 50)], "text": [f"id{i}" for i in rng.sample(range(999), 150)],
+        "tied": [rng.choice((3, 4, 4, 4, 9)) for _ in range(150)], "null": [rng.choice((None, None, i)) for i in range(150)], "equal": [5] * 150,
+    }[kind]
+    texts = ["same text of the row"] * 150 if kind == "equal" else [" ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 30))) for _ in range(150)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), f"doc_id {'string' if kind == 'text' else 'long'}, text string").repartition(5)
+    tie = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ring = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, tie[r[1]]), reverse=True) if kind != "text" else sorted(zip(ids, texts, strict=True), reverse=True)
+    want = [(str(d), t, t[: len(t) - len(t) // 2] + after[: len(t) // 2]) for (d, t), (_, after) in zip(ring, ring[1:] + ring[:1], strict=True)]
+    got = fingerprints.fingerprint_edits(docs).collect()
+    assert sorted((str(r.id), r.text, r.edited) for r in got) == sorted(want)
+    assert max(r["count"] for r in docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("turn")).transform(lambda d: d.groupBy(fingerprints.id_cells(d)[1].alias("c")).count()).collect()) < 30
+
+
 def test_sketches_merge_and_estimate(spark):
     long_, short = LONG, " ".join(LONG.split()[100:2000])
     row = spark.createDataFrame([(long_, short, "x y z " * 700)], "a string, b string, c string")
