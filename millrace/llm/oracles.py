@@ -71,19 +71,24 @@ def secret_sql() -> str:
 WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
 {", ".join(kinds)},
 base AS (SELECT id, p.s AS s, p.e AS e, r, k FROM ({base})),
-part AS (SELECT id, p.s AS s, p.e AS e FROM (SELECT id, unnest(access) AS p FROM access UNION ALL SELECT id, unnest(endpoint) FROM endpoint)),
-linked AS (
-  SELECT w.id, w.p.s AS s, w.p.e AS e, 3 AS r, 'weak' AS k FROM (SELECT id, unnest(weak) AS p FROM weak) w
-  WHERE EXISTS (SELECT 1 FROM part c WHERE c.id = w.id AND c.s <= w.p.e + {far} AND c.e >= w.p.s - {far})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.id = w.id AND b.s < w.p.e AND w.p.s < b.e)
+part AS (SELECT id, k, p.s AS s, p.e AS e FROM (SELECT id, 'access' AS k, unnest(access) AS p FROM access UNION ALL SELECT id, 'endpoint', unnest(endpoint) FROM endpoint)),
+secret AS (SELECT id, s, e, r, k FROM base WHERE k IN ('assign', 'hex') UNION ALL SELECT id, p.s, p.e, 3, 'weak' FROM (SELECT id, unnest(weak) AS p FROM weak) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = w.id AND b.s < w.p.e AND w.p.s < b.e)),
+link AS (
+  SELECT w.id, w.s, w.e, w.r, w.k, min({{'f': greatest(0, c.s - w.e, w.s - c.e), 's': c.s, 'e': c.e}}) FILTER (c.k = 'access') AS a,
+    min({{'f': greatest(0, c.s - w.e, w.s - c.e), 's': c.s, 'e': c.e}}) FILTER (c.k = 'endpoint') AS p
+  FROM secret w JOIN part c ON c.id = w.id AND c.s <= w.e + {far} AND c.e >= w.s - {far} GROUP BY ALL
 ),
+linked AS (SELECT id, s, e, r, k FROM link WHERE k = 'weak'),
+l AS (SELECT id, string_agg(k || ':' || s || ':' || e || coalesce('>access:' || a.s || ':' || a.e, '') || coalesce('>endpoint:' || p.s || ':' || p.e, ''), ',' ORDER BY s, r, e) AS line FROM link GROUP BY id),
 b AS (SELECT id, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, r) AS line, count(*) FILTER (k = 'assign') AS n_assign,
   count(*) FILTER (k = 'access') AS n_access, count(*) FILTER (k = 'hex') AS n_hex FROM base GROUP BY id),
 a AS (SELECT id, string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, r) AS line, count(*) FILTER (k = 'weak') AS n_weak
   FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY id)
 SELECT d.id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(b.line, '')) AS base_sha256, coalesce(a.line, '') AS spans, coalesce(n_weak, 0) AS n_weak
-FROM d LEFT JOIN b USING (id) LEFT JOIN a USING (id)
+  sha256(coalesce(b.line, '')) AS base_sha256, coalesce(a.line, '') AS spans, coalesce(n_weak, 0) AS n_weak,
+  coalesce(l.line, '') AS links
+FROM d LEFT JOIN b USING (id) LEFT JOIN a USING (id) LEFT JOIN l USING (id)
 """
 
 

@@ -2,10 +2,13 @@
 
 Strong findings stay as they are. A weak candidate (a run of mixed case with digits that could be a
 key) says little alone; it is reported only when a complementary part, an access identifier or an
-endpoint, stands within its scope, found by an interval join of the parts.
+endpoint, stands within its scope. An interval join of the parts finds that: for every secret, weak or
+strong, the nearest identifier and the nearest endpoint within the scope make a link.
 
-Defined results: a null text counts as empty; a text without findings gives empty spans; repeated
-rows each get their result; other columns of the input play no part, whatever their names.
+Defined results: a null text counts as empty; a text without findings gives empty spans; a weak
+candidate that overlaps a strong finding isn't reported; of parts at the same distance the leftmost is
+linked, of those the shorter; repeated rows each get their result; other columns of the input play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ ENDPOINT = r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._~:@-]+"
 SCOPE = 256
 
 SPANS = "array<struct<start:int,end:int>>"
+LINKS = "array<struct<start:int,rank:int,end:int,kind:string,access:struct<start:int,end:int>,endpoint:struct<start:int,end:int>>>"
+#: Matches that one fold gathers; its array is copied at each.
+CHUNK = 128
 
 
 def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column], guard: str | None = None) -> Column:
@@ -54,8 +60,15 @@ def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column], gu
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(s["keep"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.regexp_like(text, F.lit(guard or pattern)), F.aggregate(steps, start, walk, lambda acc: acc["out"])).otherwise(none)
+    def gathered(steps: Column) -> Column:
+        """Chunks of matches are gathered on their own, each from where those before it end."""
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / CHUNK).cast("int")), lambda i: F.slice(steps, i * CHUNK + 1, F.lit(CHUNK)))
+        lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["gap"] + F.coalesce(s["len"], F.lit(0))))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(lengths, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, begins, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), walk, lambda acc: acc["out"])))
+
+    return F.when(F.regexp_like(text, F.lit(guard or pattern)), F.element_at(F.transform(F.array(steps), gathered), 1)).otherwise(none)
 
 
 def strong_spans(text: Column) -> dict[str, Column]:
@@ -79,7 +92,8 @@ def written(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row per input row: the id, ``strong`` and ``linked`` spans (start, rank, end, kind).
+    """One row per input row: the id, ``strong`` and ``linked`` spans (start, rank, end, kind), and
+    ``links``: each secret's span with its nearest access identifier and endpoint (null where none).
 
     One pass over the texts; what is shuffled afterwards are spans only.
     """
@@ -92,36 +106,49 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         match_spans(text, ENDPOINT, lambda hit: hit.isNotNull(), "://").alias("endpoint"),
     )
     parts = cut_lineage(parts)
-    # the candidates of a text against its complementary parts; cells of one scope's length make the
-    # interval join an equality join, and each cell keeps only its outermost bounds
-    both = parts.where((F.size("weak") > 0) & (F.size("access") + F.size("endpoint") > 0))
-    near = (
-        both.select("id", "key", F.explode(F.concat("access", "endpoint")).alias("p"))
-        .withColumn("cell", F.explode(F.sequence((F.col("p.start") / scope).cast("int"), (F.col("p.end") / scope).cast("int"))))
-        .groupBy("id", "key", "cell")
-        .agg(F.min("p.start").alias("first"), F.max("p.end").alias("last"))
-    )
-    cand = (
-        both.select("id", "key", F.explode("weak").alias("w"))
-        .withColumn("cell", F.explode(F.sequence((F.col("w.start") / scope).cast("int") - 1, (F.col("w.end") / scope).cast("int") + 1)))
-    )
+    ranks = {kind: i for i, kind in enumerate([kind for kind, *_ in KINDS] + ["weak"])}
+    secrets = {"assign": ranks["assign"], "hex": ranks["hex"], "weak": ranks["weak"]}
+    found = (F.size("assign") + F.size("hex") + F.size("weak") > 0) & (F.size("access") + F.size("endpoint") > 0)
+    both = parts.where(found).dropDuplicates(["id", "key"])  # equal texts of an id are linked once
+    # cells of one scope's length make the interval join an equality join; parts don't overlap within a
+    # kind, so a cell holds a bounded number of them
+    tagged = lambda kinds: F.concat(*(labelled(F.col(k), k, ranks[k] if k in ranks else -1) for k in kinds))
+    near = both.select("id", "key", F.explode(tagged(["access", "endpoint"])).alias("p"))
+    near = near.withColumn("cell", F.explode(F.sequence((F.col("p.start") / scope).cast("int"), (F.col("p.end") / scope).cast("int"))))
+    cand = both.select("id", "key", F.explode(tagged(secrets)).alias("w"))
+    cand = cand.withColumn("cell", F.explode(F.sequence((F.col("w.start") / scope).cast("int") - 1, (F.col("w.end") / scope).cast("int") + 1)))
+    far = F.greatest(F.lit(0), F.col("n.p.start") - F.col("c.w.end"), F.col("c.w.start") - F.col("n.p.end"))
+    nearest = lambda kind: F.min(F.when(F.col("p.kind") == kind, F.struct("far", "p.start", "p.end")))
+    span = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.start").alias("start"), F.col(f"{c}.end").alias("end")))
     linked = (
         cand.alias("c")
         .join(near.alias("n"), F.col("c.id").eqNullSafe(F.col("n.id")) & (F.col("c.key") == F.col("n.key")) & (F.col("c.cell") == F.col("n.cell")))
-        .where((F.col("n.first") <= F.col("c.w.end") + scope) & (F.col("n.last") >= F.col("c.w.start") - scope))
-        .groupBy(F.col("c.id").alias("l_id"), F.col("c.key").alias("l_key"))
-        .agg(F.collect_set("c.w").alias("linked"))
+        .where((F.col("n.p.start") <= F.col("c.w.end") + scope) & (F.col("n.p.end") >= F.col("c.w.start") - scope))
+        .select(F.col("c.id").alias("l_id"), F.col("c.key").alias("l_key"), "c.w", "n.p", far.alias("far"))
+        .groupBy("l_id", "l_key", "w")
+        .agg(nearest("access").alias("a"), nearest("endpoint").alias("e"))
+        .select("l_id", "l_key", F.struct("w.start", "w.rank", "w.end", "w.kind", span("a").alias("access"), span("e").alias("endpoint")).alias("link"))
+        .groupBy("l_id", "l_key")
+        .agg(F.collect_list("link").alias("links"))
     )
     strong = F.concat(*(labelled(F.col(kind), kind, i) for i, (kind, *_) in enumerate(KINDS)))
-    clear = F.filter("linked", lambda w: ~F.exists("_base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    clear = F.filter("links", lambda w: (w["kind"] != "weak") | ~F.exists("_base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     return (
         parts.withColumn("_base", strong)
         .join(linked, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("key") == F.col("l_key")), "left")
-        .withColumn("linked", F.coalesce(labelled(clear, "weak", len(KINDS)), labelled(F.array().cast(SPANS), "weak", len(KINDS))))
-        .select("id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in KINDS), F.col("_base").alias("strong"), "linked")
+        .withColumn("links", F.coalesce(clear, F.array().cast(LINKS)))
+        .withColumn("linked", F.transform(F.filter("links", lambda w: w["kind"] == "weak"), lambda w: F.struct(w["start"].alias("start"), w["rank"].alias("rank"), w["end"].alias("end"), w["kind"].alias("kind"))))
+        .select("id", *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in KINDS), F.col("_base").alias("strong"), "linked", "links")
     )
 
 
+def written_links(links: Column) -> Column:
+    """kind:start:end, then >access:start:end and >endpoint:start:end where there are such; comma-joined."""
+    tail = lambda w, kind: F.when(w[kind].isNotNull(), F.concat(F.lit(f">{kind}:"), F.concat_ws(":", w[kind]["start"], w[kind]["end"])))
+    line = lambda w: F.concat_ws("", F.concat_ws(":", w["kind"], w["start"], w["end"]), tail(w, "access"), tail(w, "endpoint"))
+    return F.array_join(F.transform(F.array_sort(links), line), ",")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The query's columns from the operator's spans."""
     return found.select(
@@ -132,4 +159,5 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(written(F.col("strong")), 256).alias("base_sha256"),
         written(F.concat("strong", "linked")).alias("spans"),
         F.size("linked").cast("long").alias("n_weak"),
+        written_links(F.col("links")).alias("links"),
     )

@@ -199,6 +199,31 @@ def test_secrets(spark):
     assert secrets.digest(secrets.find_secrets(df.limit(0))).count() == 0
 
 
+def test_secrets_link_the_nearest_parts(spark):
+    """Links against all pairs, on texts dense with parts and with more matches than a chunk."""
+    rng = random.Random(31)
+    bits = ["AKIA" + "Q" * 16, "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1", "https://h.example/p", "password=hunter22", "0a" * 14, "plain words", "x " * 60]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(60)] + ["ftp://a " * 1000 + "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1", "token=secret12 " * 700]
+    df = spark.createDataFrame([(i % 50, t) for i, t in enumerate(texts)] + [(3, texts[3])] * 5, "doc_id long, text string")
+    want = []
+    for i, t in [*((i % 50, t) for i, t in enumerate(texts)), *[(3, texts[3])] * 5]:
+        base = [(int(x.split(":")[1]), x.split(":")[0], int(x.split(":")[2])) for x in spans_of(t).split(",") if x]
+        weak = [(m.start(), "weak", m.end()) for m in re.finditer(secrets.WEAK, t) if all(re.search(c, m[0]) for c in ("[A-Z]", "[a-z]", "[0-9]"))]
+        weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+        parts = [b for b in base if b[1] == "access"] + [(m.start(), "endpoint", m.end()) for m in re.finditer(secrets.ENDPOINT, t)]
+        lines = []
+        for a, kind, b in sorted([s for s in base if s[1] != "access"] + weak, key=lambda s: (s[0], ["assign", "access", "hex", "weak"].index(s[1]))):
+            line = ""
+            for part in ("access", "endpoint"):
+                near = [(max(0, p - b, a - q), p, q) for p, k, q in parts if k == part and p <= b + secrets.SCOPE and q >= a - secrets.SCOPE]
+                if near:
+                    line += f">{part}:{min(near)[1]}:{min(near)[2]}"
+            if line:
+                lines.append(f"{kind}:{a}:{b}{line}")
+        want.append((i, ",".join(lines)))
+    assert sorted((r.doc_id, r.links) for r in secrets.digest(secrets.find_secrets(df)).collect()) == sorted(want)
+
+
 def test_fingerprints_odd_rows(spark, odd, none):
     rows = fingerprints.fingerprint_edits(odd).collect()
     order = sorted(((d, t or "") for d, t, _ in ODD if d is not None), reverse=True)
