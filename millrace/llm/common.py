@@ -64,6 +64,19 @@ def block_pairs(members: DataFrame, group: str, member: str, block: int, weight:
     )
 
 
+def star_blocks(pairs: DataFrame, block: int, weight: str | None = None, heavy: int = 2_000_000) -> DataFrame:
+    """Block pairs of hubs and their members, from distinct (cid, hub): a hub (block 0) meets its
+    members in as many blocks as their number and weight ask for."""
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))
+    if weight:
+        blocks = F.greatest(blocks, F.ceil(F.sum(weight) / F.lit(heavy)))
+    deal = (F.pmod(F.xxhash64("cid"), F.col("_nb")) + 1).cast("int")
+    dealt = pairs.join(pairs.groupBy("hub").agg(blocks.cast("int").alias("_nb")), "hub")
+    dealt = dealt.select("cid", F.col("hub").alias("grp"), F.lit(0).alias("b_left"), deal.alias("b_right"), F.lit(1).alias("b_own"))
+    hubs = dealt.select(F.col("grp").alias("cid"), "grp", "b_left", "b_right", F.lit(0).alias("b_own")).distinct()
+    return dealt.unionByName(hubs).withColumn("core", F.col("cid"))
+
+
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Cut the batches of one partition, sorted by ``keys``, into tables that hold whole groups.
 

@@ -4,12 +4,16 @@ A vector is turned by three rounds of random signs and a Walsh-Hadamard transfor
 axis it then lies closest to. Several such axes make a table's bucket key; further probes take the
 next-closest axis where the choice was closest. Vectors that share a bucket are compared exactly
 (cosine in double precision) inside blocks; counts of links and the edges of forests leave a block,
-never its pairs. A pair that meets in several buckets is counted where its least common key is.
+never its pairs.
 
-Defined results: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components, and those whose label is null, link with nothing; equal vectors with equal
-labels are one class (their links are counted by number); repeated rows count as vectors of their
-own; rows with a null id can be linked but name no component.
+In buckets larger than a block the members are first compared with the bucket's least vector; those
+linked so are a core, which is compared within itself once, in blocks, and not in each of its buckets.
+Every other pair is counted in the bucket with the least key that both have.
+
+Defined results: vectors that are null, zero, or that hold null or non-finite components, and those
+whose label is null, link with nothing; vectors link with those of their own length only; equal vectors
+with equal labels are one class (their links are counted by number); repeated rows count as vectors of
+their own; rows with a null id can be linked but name no component.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_pairs, run_starts, sorted_runs
-from millrace.scratch import cut_lineage
+from millrace.llm.common import block_pairs, run_starts, sorted_runs, star_blocks
 from millrace.llm.components import connected_components
+from millrace.scratch import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -124,8 +128,35 @@ def with_keys(classes: DataFrame, plan: Plan, axes: int) -> DataFrame:
 BLOCK_KEYS = ["grp", "b_left", "b_right"]
 
 
+def shares_here(keys: np.ndarray, i: np.ndarray, j: np.ndarray, here: int, plan: Plan, part: int = 1 << 15) -> np.ndarray:
+    """For each pair (i, j), whether the least key that both have is this bucket's."""
+    by_table = keys.reshape(len(keys), plan.tables, plan.probes)
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), part):
+        a, b = by_table[i[at : at + part]], by_table[j[at : at + part]]
+        shared = (a[..., None] == b[:, :, None]).any(axis=3)
+        out[at : at + part] = np.where(shared, a, np.iinfo(np.int64).max).min(axis=(1, 2)) == here
+    return out
+
+
+def least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of 0..n-1 that each can reach by pairs."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def compare(met: DataFrame, plan: Plan) -> DataFrame:
-    """Per pair of blocks: (a, links) counts of links and (a, b) edges of a forest of them."""
+    """Per pair of blocks: (a, links) counts of links and (a, b) edges that tie up what they link.
+
+    Where ``key`` is null the group is a core and every pair counts, elsewhere those across cores do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, BLOCK_KEYS):
@@ -134,38 +165,48 @@ def compare(met: DataFrame, plan: Plan) -> DataFrame:
                 if hi - lo < 2:
                     continue
                 g = table.slice(lo, hi - lo)
-                ids, copies, own = (g.column(c).to_numpy() for c in ("cid", "copies", "b_own"))
+                ids, copies, own, core = (g.column(c).to_numpy() for c in ("cid", "copies", "b_own", "core"))
                 x = np.stack(g.column("unit").combine_chunks().to_numpy(zero_copy_only=False))
-                keys = np.stack(g.column("keys").combine_chunks().to_numpy(zero_copy_only=False))
-                by_table = keys.reshape(len(ids), plan.tables, plan.probes)
                 here = g.column("key")[0].as_py()
-                a, b, links = [], [], np.zeros(len(ids), np.int64)
-                label = np.arange(len(ids))
-                cross = g.column("b_left")[0].as_py() != g.column("b_right")[0].as_py()
-                near = x @ x.T >= plan.cosine
-                for i in range(len(ids) - 1):
-                    js = np.flatnonzero(near[i, i + 1 :]) + i + 1
-                    if cross:
-                        js = js[own[js] != own[i]]
-                    if len(js):  # counted in the bucket with the least key that both have
-                        shared = (by_table[js][..., None] == by_table[i][None, :, None, :]).any(axis=3).reshape(len(js), -1)
-                        js = js[np.where(shared, keys[js], np.iinfo(np.int64).max).min(axis=1) == here]
-                    links[i] += copies[js].sum()
-                    links[js] += copies[i]
-                    for j in js[label[js] != label[i]]:
-                        if label[j] != label[i]:
-                            label[label == label[j]] = label[i]
-                            a.append(ids[i])
-                            b.append(ids[j])
-                hit = np.flatnonzero(links)
+                near = np.triu(x @ x.T >= plan.cosine, 1)
+                if g.column("b_left")[0].as_py() != g.column("b_right")[0].as_py():
+                    near &= own[:, None] != own
+                if here is not None:
+                    near &= core[:, None] != core
+                i, j = np.nonzero(near)
+                if here is not None and len(i):
+                    counts = shares_here(np.stack(g.column("keys").combine_chunks().to_numpy(zero_copy_only=False)), i, j, here, plan)
+                    i, j = i[counts], j[counts]
+                if not len(i):
+                    continue
+                links = np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+                hit, root = np.flatnonzero(links), least_reachable(len(ids), i, j)
+                tied = np.flatnonzero(root != np.arange(len(ids)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([*ids[hit], *a], pa.int64()), pa.array([*[None] * len(hit), *b], pa.int64()), pa.array([*links[hit], *[0] * len(a)], pa.int64())], names=["a", "b", "links"]
-                )
+                    [pa.array([*ids[hit], *ids[tied]], pa.int64()), pa.array([*[None] * len(hit), *ids[root[tied]]], pa.int64()), pa.array([*links[hit], *[0] * len(tied)], pa.int64())],
+                    names=["a", "b", "links"],
+                )
 
-    columns = ["cid", "copies", "unit", "keys", "key", "b_own", *BLOCK_KEYS]
+    columns = ["cid", "copies", "core", "unit", "keys", "key", "b_own", *BLOCK_KEYS]
     return met.select(*columns).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
+def star_links(dealt: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b) of the members that are linked with their hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, BLOCK_KEYS):
+            starts = [*run_starts([table.column(k) for k in BLOCK_KEYS]), table.num_rows]
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                g = table.slice(lo, hi - lo)
+                ids, hub = g.column("cid").to_numpy(), g.column("b_own").to_numpy() == 0
+                x = np.stack(g.column("unit").combine_chunks().to_numpy(zero_copy_only=False))
+                linked = ids[~hub][x[~hub] @ x[hub][0] >= plan.cosine]
+                yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([ids[hub][0]] * len(linked), pa.int64())], names=["a", "b"])
+
+    return dealt.select("cid", "unit", "b_own", *BLOCK_KEYS).repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(vectors: DataFrame, plan: Plan = Plan(), id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = 512) -> DataFrame:  # noqa: B008
     """(id, n_links, component, kept) of every row; links only between rows of equal labels."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("lab"))
@@ -177,9 +218,17 @@ def near_duplicates(vectors: DataFrame, plan: Plan = Plan(), id_col: str = "vec_
     n, width = classes.agg(F.count(F.lit(1)), F.max("width")).first()
     keyed = cut_lineage(with_keys(classes, plan, plan.axes(n, width or 1)))
     member = keyed.select("cid", F.explode(F.array_distinct("keys")).alias("key"), "lab_key", "width").select("cid", "key", F.xxhash64("key", "lab_key", "width").alias("grp"))
-    shared = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    met = block_pairs(member.join(shared, "grp"), "grp", "cid", block).join(keyed.select("cid", "copies", "unit", "keys"), "cid")
-    found = cut_lineage(compare(met, plan))
+    shared = member.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("hub")).where("n > 1")
+    member = cut_lineage(member.join(shared, "grp"))
+    stars = member.where((F.col("n") > block) & (F.col("cid") != F.col("hub"))).select("cid", "hub").distinct()
+    core_of = connected_components(star_links(star_blocks(stars, block).join(keyed.select("cid", "unit"), "cid"), plan))
+    core_of = core_of.select(F.col("node").alias("cid"), F.col("component").alias("core"))
+    core_of = cut_lineage(core_of.unionByName(core_of.select(F.col("core").alias("cid"), "core").distinct()))
+    across = member.select("cid", "key", "grp").join(core_of, "cid", "left").withColumn("core", F.coalesce("core", "cid"))
+    across = block_pairs(across, "grp", "cid", block, core="core")
+    within = block_pairs(core_of.select("cid", F.lit(None).cast("bigint").alias("key"), F.xxhash64("core", F.lit("core")).alias("grp"), "core"), "grp", "cid", block)
+    vectors_ = keyed.select("cid", "copies", "unit", "keys")
+    found = cut_lineage(compare(across.unionByName(within).join(vectors_, "cid"), plan))
     counts = found.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
     named = connected_components(found.where("b is not null")).withColumnRenamed("node", "cid")
     known = classes.select("cid", "first_id", "copies").join(named, "cid", "left").withColumn("group", F.coalesce("component", "cid"))

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import block_pairs, run_starts, sorted_runs
-from millrace.scratch import cut_lineage
+from millrace.llm.common import block_pairs, run_starts, sorted_runs, star_blocks
 from millrace.llm.components import connected_components
+from millrace.scratch import cut_lineage
 
 U = np.uint64
 
@@ -287,16 +287,6 @@ def hub_counts(sets: list[np.ndarray], hubs: np.ndarray) -> np.ndarray:
     return out
 
 
-def star_blocks(pairs: DataFrame, block: int, heavy: int = 2_000_000) -> DataFrame:
-    """Block pairs of hubs and their members, from distinct (cid, hub, n_shingles): a hub meets its
-    members in as many blocks as their number and weight ask for."""
-    sizes = pairs.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / heavy)).cast("int").alias("_nb"))
-    deal = (F.pmod(F.xxhash64("cid"), F.col("_nb")) + 1).cast("int")
-    dealt = pairs.join(sizes, "hub").select("cid", F.col("hub").alias("grp"), F.lit(0).alias("b_left"), deal.alias("b_right"), F.lit(1).alias("b_own"))
-    hubs = dealt.select(F.col("grp").alias("cid"), "grp", "b_left", "b_right", F.lit(0).alias("b_own")).distinct()
-    return dealt.unionByName(hubs).withColumn("core", F.col("cid"))
-
-
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", block: int = 256) -> DataFrame:  # noqa: B008
     """(id, mark, n_shingles, component, kept, chosen) of every row; ``mark`` is xxhash64 of the text."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -318,10 +308,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         return rows.join(found.select("cid", "text").dropDuplicates(["cid"]), "cid")
 
     stars = met.where((F.col("n") > 2 * block) & (F.col("cid") != F.col("hub"))).select("cid", "hub", "n_shingles").distinct()
-    dealt = star_blocks(stars, block)
+    dealt = star_blocks(stars, block, "n_shingles")
     alike = forest(dealt.join(classes.select("cid", "short"), "cid"), plan, False, star=True)  # by signature first
     stars = cut_lineage(alike.select(F.col("a").alias("hub"), F.col("b").alias("cid")).join(classes.select("cid", "n_shingles"), "cid"))
-    cores = cut_lineage(forest(with_texts(star_blocks(stars, block)), plan, True, star=True))
+    cores = cut_lineage(forest(with_texts(star_blocks(stars, block, "n_shingles")), plan, True, star=True))
     core_of = connected_components(cores).withColumnsRenamed({"node": "c_id", "component": "core"})
     cored = lambda rows: rows.join(core_of, F.col("cid") == F.col("c_id"), "left").withColumn("core", F.coalesce("core", "cid")).drop("c_id")
     alike = forest(block_pairs(cored(met.select("grp", "cid", "short")), "grp", "cid", 2 * block, core="core"), plan, False)

@@ -160,12 +160,26 @@ def test_embeddings_against_all_pairs(spark):
     near = (unit @ unit.T >= 0.98) & (np.array(lab)[:, None] == np.array(lab)) & ~np.eye(n, dtype=bool)
     links = [(i, j) for i, j in zip(*np.nonzero(near), strict=True)]
     want = brute_components(range(len(rows)), links)
-    for block in (16, 512):
+    for block in (8, 16, 512):
         got = {r.id: r for r in embeddings.near_duplicates(df, block=block).collect()}
         assert len(got) == len(rows) and all(got[i].n_links == (near[i].sum() if i < n else 0) and got[i].component == want[i] for i in got)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("axes", [1, 2, 3, 5])
+def test_pairs_at_the_threshold_meet(axes):
+    """Pairs at a cosine of exactly 0.98 share a bucket of some table, however many axes make a key."""
+    rng = np.random.default_rng(axes)
+    plan = embeddings.Plan()
+    a, b = rng.normal(size=(2, 2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (embeddings.bucket_keys(v, plan, axes).reshape(-1, plan.tables, plan.probes) for v in (a, b))
+    meet = lambda x, y: (x[..., None] == y[:, :, None]).any(axis=(1, 2, 3)).mean()
+    assert meet(x, y) > 0.995 and (axes < 3 or meet(x, np.roll(y, 1, axis=0)) < 0.05)
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 64))
     y = embeddings.hadamard(x)
