@@ -121,7 +121,7 @@ class Encoder:
                     continue
                 if last < 0:
                     break
-                pair = last << 20 | token
+                pair = last << 32 | token
                 fit = fits.get(pair)
                 if fit is None:
                     if len(fits) >= 1_000_000:

@@ -22,7 +22,7 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def block_pairs(members: DataFrame, group: str, member: str, block: int, weight: str | None = None, heavy: int = 2_000_000, core: str | None = None) -> DataFrame:
+def block_pairs(members: DataFrame, group: str, member: str, block: int, weight: str | None = None, heavy: int = 500_000, core: str | None = None) -> DataFrame:
     """Deal the members of each group into pairs of blocks of about ``block`` members.
 
     Adds ``b_left`` and ``b_right`` (the pair of blocks) and ``b_own`` (the member's own block).
@@ -64,7 +64,7 @@ def block_pairs(members: DataFrame, group: str, member: str, block: int, weight:
     )
 
 
-def star_blocks(pairs: DataFrame, block: int, weight: str | None = None, heavy: int = 2_000_000) -> DataFrame:
+def star_blocks(pairs: DataFrame, block: int, weight: str | None = None, heavy: int = 500_000) -> DataFrame:
     """Block pairs of hubs and their members, from distinct (cid, hub): a hub (block 0) meets its
     members in as many blocks as their number and weight ask for."""
     blocks = F.ceil(F.count(F.lit(1)) / F.lit(block))

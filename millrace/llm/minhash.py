@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     met = cut_lineage(member.join(chosen, "grp"))
 
     def with_texts(rows: DataFrame) -> DataFrame:
-        found = rows.select("cid").distinct().join(classes.select("cid", "id", "mark"), "cid")
+        # a table of known size: where few texts are wanted, Spark sends their keys and shuffles no text
+        found = cut_lineage(rows.select("cid").distinct().join(classes.select("cid", "id", "mark"), "cid"))
         found = found.join(texts.withColumnRenamed("id", "t_id"), F.col("id").eqNullSafe(F.col("t_id")) & (found["mark"] == texts["mark"]))
         return rows.join(found.select("cid", "text").dropDuplicates(["cid"]), "cid")
 

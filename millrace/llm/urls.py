@@ -11,7 +11,7 @@ the added ones, which then win.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,14 +81,15 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], url_col:
     url = F.coalesce(F.col(url_col), F.lit(""))
 
     @F.pandas_udf("rule string, verdict string, strict_hits int, soft_hits int")
-    def judged(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        find, score = rule_finder(rules), scorer(strict, soft)
-        out = []
-        for text, host, path in zip(urls, hosts, paths, strict=True):
-            rule, verdict = find(host, path)
-            hard, mild = score(text) if host or path else (0, 0)
-            out.append((rule, verdict or ("block" if hard or mild >= soft_hits else "allow"), hard, mild))
-        return pd.DataFrame(out, columns=["rule", "verdict", "strict_hits", "soft_hits"])
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        find, score = rule_finder(rules), scorer(strict, soft)  # once for each task
+        for urls, hosts, paths in batches:
+            out = []
+            for text, host, path in zip(urls, hosts, paths, strict=True):
+                rule, verdict = find(host, path)
+                hard, mild = score(text) if host or path else (0, 0)
+                out.append((rule, verdict or ("block" if hard or mild >= soft_hits else "allow"), hard, mild))
+            yield pd.DataFrame(out, columns=["rule", "verdict", "strict_hits", "soft_hits"])
 
     host = ascii_lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)

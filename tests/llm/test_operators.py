@@ -629,6 +629,44 @@ def test_differencing():
     assert np.bincount(to[:, 0], weights=sums[:, 0], minlength=2).tolist() == total.tolist()
 
 
+def plain_differencing(sizes, k):
+    """The sums that differencing gives, by searching for the two largest spreads each time."""
+    parts = [([s] + [0] * (k - 1), i) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(max(p[0]) - min(p[0])), p[1]))
+        (a, _), (b, _) = parts[:2]
+        parts[:2] = [([x + y for x, y in zip(sorted(a, reverse=True), sorted(b), strict=True)], made)]
+        made += 1
+    return sorted(parts[0][0])
+
+
+def test_differencing_against_a_plain_version():
+    rng = random.Random(18)
+    for k in (2, 3, 7):
+        for n in (1, 2, 9, 80):
+            sizes = [rng.choice((1, 5, rng.randrange(1, 1000))) for _ in range(n)]
+            sums = np.zeros((n, k), np.int64)
+            sums[:, 0] = sizes
+            total, to = sharding.combine(sums)
+            assert sorted(total.tolist()) == plain_differencing(sizes, k)
+            assert np.bincount(to[:, 0], weights=sizes, minlength=k).tolist() == total.tolist()
+
+
+def test_the_query_shards_as_the_plain_version_does(spark):
+    docs = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op8_karmarkar_karp_shards"](spark, SF).collect()
+    size = {i: len(t.encode()) + 16 for i, t in docs.items()}
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted((i, size[i], zlib.crc32(t.encode())) for i, t in docs.items())
+    groups = {}
+    for i, t in docs.items():
+        groups[hashlib.md5(t.encode()).hexdigest()] = groups.get(hashlib.md5(t.encode()).hexdigest(), 0) + size[i]
+    loads = sorted(sum(r.size for r in rows if r.shard == k) for k in range(40))
+    assert loads == plain_differencing([groups[g] for g in sorted(groups)], 40)
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(40))
+    assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
+
+
 def test_shards(spark, odd, none):
     rng = random.Random(8)
     docs = spark.createDataFrame([(i, "x" * int(rng.paretovariate(1.2) * 20) + str(i % 700)) for i in range(900)], "doc_id long, text string")

@@ -1,10 +1,14 @@
 """The pipeline's stages: what goes, what stays, and in which columns."""
 
+import hashlib
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import packing, pii, toxicity
+from millrace.llm.queries import PII_KEY
+from tests.llm.test_operators import brute_best_fit, groups_of_rows, score_of, shingle_set
 from tests.oracle import SF
 
 
@@ -69,5 +73,21 @@ def test_near_dedup_tells_texts_apart_not_ids(spark, pipeline):
     raise AssertionError(left)
 
 
-def test_run_applies_all_stages(spark, pipeline):
-    assert pipeline.run(spark, SF).count() > 50
+def test_run_equals_a_plain_version(spark, pipeline):
+    """All four stages over the small table: scores from the weights, all pairs, one text after another, every bin."""
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda d: d.doc_id)
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    kept = [d for d in docs if score_of(model, d.text or "") < 0.5]
+    name = {(d, n): c for d, n, c in groups_of_rows([(d.doc_id, d.text) for d in kept], 5, 80)}
+    kept = [d for d in kept if not shingle_set(d.text, 5) or name[d.doc_id, len(shingle_set(d.text, 5))] == d.doc_id]
+    to, pieces = pii.Surrogates(PII_KEY), []
+    for d in kept:
+        text = pii.replace(d.text, to)[0] if d.text is not None else None
+        same = " ".join(re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+        n, size = -(-len(text or "") // 4), packing.CAPACITY
+        pieces += [(d.doc_id, i, i * size, min(size, n - i * size), d.source, hashlib.md5(same.encode()).hexdigest()) for i in range(n // size + (n % size > 0 or n == 0))]
+    rest = sorted((p for p in pieces if p[3] < packing.CAPACITY), key=lambda p: (-p[3], p[0]))
+    placed = brute_best_fit([p[3:] for p in rest], packing.CAPACITY)
+    want = [(*p, f"pack-0-{b}", at) for p, (b, at) in zip(rest, placed, strict=True)] + [(*p, "full", 0) for p in pieces if p[3] == packing.CAPACITY]
+    got = [(r.doc_id, r.piece, r.start, r.length, r.source, r.cluster, r.bin if r.bin.startswith("pack") else "full", r.bin_offset) for r in pipeline.run(spark, SF).collect()]
+    assert len(kept) < len(docs) and sorted(got) == sorted(want)
