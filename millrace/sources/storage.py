@@ -12,9 +12,12 @@ from millrace.scratch import file_system
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table that was stored in fewer splits than there are cores, dealt out to all of them; larger
-    tables stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    """On a session with ``spark.millrace.spread`` set, a table of fewer splits than cores dealt out to
+    all of them: for tests and benches, whose tables are one small file. Elsewhere tables are as read."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.millrace.spread", "false") != "true":
+        return df
+    cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

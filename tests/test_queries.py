@@ -27,6 +27,13 @@ def test_the_entry_point_runs(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_broken_imports_inside_llm_are_not_hidden():
+    code = "import sys; sys.modules['millrace.llm.bpe'] = None\nimport __spark_entry__"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    llm = subprocess.run([sys.executable, "-c", "import millrace.llm"], capture_output=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert llm.returncode or ("bpe" in done.stderr and done.returncode)
+
+
 def test_the_rest_works_without_llm():
     """The entry point imports, with all other queries, where the subpackage and the pipeline are gone."""
     code = (
