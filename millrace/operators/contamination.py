@@ -1,8 +1,9 @@
-"""Benchmark contamination by word n-grams, as joins of exploded n-grams.
+"""Benchmark contamination by word n-grams, as joins of exploded 64-bit n-gram hashes.
 
 The distinct n-grams of a document are counted as an array before they are exploded, and only those
 that occur in a benchmark leave the join; benchmark n-grams are broadcast only if Spark finds them
-small enough by its own threshold.
+small enough by its own threshold. Beyond that 16 bytes a word are shuffled, or less where Spark's
+runtime filter of the benchmark's side applies.
 """
 
 from __future__ import annotations

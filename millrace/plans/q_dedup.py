@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.operators import dedup
 from millrace.operators.order import dense_index
 from millrace.plans.registry import query, sql_hash, sql_norm, table
+from millrace.scratch import cut_lineage
 
 HASH = sql_hash(sql_norm("text"))
 
@@ -21,12 +22,12 @@ def hashed(spark: SparkSession, sf_dir: str, normalize: bool = True) -> DataFram
 
 @query(f"WITH h AS (SELECT *, {HASH} AS hash FROM documents) SELECT doc_id, source, hash FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.first_rows(hashed(spark, sf_dir).select("doc_id", "source", "hash"), "hash", ["doc_id"])
+    return dedup.first_rows(hashed(spark, sf_dir).select("doc_id", "source", "hash"), "hash", ["doc_id"], narrow=True)
 
 
 @query(f"WITH h AS (SELECT *, {sql_hash('text')} AS hash FROM documents) SELECT doc_id, source, hash FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1")
 def exact_dedup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.first_rows(hashed(spark, sf_dir, False).select("doc_id", "source", "hash"), "hash", ["doc_id"])
+    return dedup.first_rows(hashed(spark, sf_dir, False).select("doc_id", "source", "hash"), "hash", ["doc_id"], narrow=True)
 
 
 @query(f"""SELECT source, count(*) AS rows_seen, count(DISTINCT h) AS items_in_filter, count(*) - count(DISTINCT h) AS duplicates_removed
@@ -39,9 +40,9 @@ def exact_dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH h AS (SELECT *, {HASH} AS hash FROM documents) SELECT doc_id, hash FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id % 2, doc_id) = 1")
 def incremental_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A first batch, then a second against the keys that the first has committed."""
-    rows = hashed(spark, sf_dir).select("doc_id", "hash")
-    first = dedup.first_rows(rows.where("doc_id % 2 = 0"), "hash", ["doc_id"])
-    return first.unionByName(dedup.incremental(rows.where("doc_id % 2 = 1"), first, "hash", ["doc_id"]))
+    rows = cut_lineage(hashed(spark, sf_dir).select("doc_id", "hash"))
+    first = dedup.first_rows(rows.where("doc_id % 2 = 0"), "hash", ["doc_id"], narrow=True)
+    return first.unionByName(dedup.incremental(rows.where("doc_id % 2 = 1"), first, "hash", ["doc_id"], narrow=True))
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,30 +78,30 @@ def benchmark_preseed_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("rank >= 0").join(seeds, "key", "left").agg(F.count(F.lit(1)).alias("candidates"), F.count("seed").alias("excluded"))
 
 
-@query(f"SELECT sha256(string_agg(printf('%d', {HASH}), ',' ORDER BY doc_id)) AS key_digest, count(*) AS n FROM documents WHERE source = 'src3'")
-def ordered_key_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest over the ordered keys of one source, in one list; ``ordered_key_digests`` has all sources."""
-    rows = hashed(spark, sf_dir).where("source = 'src3'").agg(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))).alias("k"), F.count(F.lit(1)).alias("n"))
-    return rows.select(F.sha2(F.array_join(F.transform("k", lambda x: x["hash"].cast("string")), ","), 256).alias("key_digest"), "n")
-
-
 def digests_of_ranges(rows: DataFrame, every: int = 4096) -> DataFrame:
     """(source, key_digest, n) from (source, row_idx, hash): each range of so many rows is digested over
-    its ordered 8-byte keys, and a source over the ordered digests of its ranges."""
-    key = F.lpad(F.hex("hash"), 16, "0")
+    its ordered 8-byte keys, ranges of these digests likewise, until a source is one range."""
     in_order = lambda c: F.sha2(F.unhex(F.array_join(F.transform(F.array_sort(c), lambda x: x["v"]), "")), 256)
-    # one key of both, so that ranges aren't dealt by their source alone
-    at = F.struct("source", F.floor(F.col("row_idx") / every).alias("range")).alias("at")
-    ranges = rows.groupBy(at).agg(
-        in_order(F.collect_list(F.struct("row_idx", key.alias("v")))).alias("digest"), F.count(F.lit(1)).alias("n")
-    )
-    return ranges.select("at.*", "digest", "n").groupBy("source").agg(in_order(F.collect_list(F.struct("range", F.col("digest").alias("v")))).alias("key_digest"), F.sum("n").alias("n"))
+    most = rows.agg(F.max("row_idx")).first()[0] or 0
+    level = rows.select("source", F.col("row_idx").alias("at"), F.lpad(F.hex("hash"), 16, "0").alias("v"), F.lit(1).cast("bigint").alias("n"))
+    while True:
+        # one key of both, so that ranges aren't dealt by their source alone
+        key = F.struct("source", F.floor(F.col("at") / every).alias("at")).alias("key")
+        level = level.groupBy(key).agg(in_order(F.collect_list(F.struct("at", "v"))).alias("v"), F.sum("n").alias("n")).select("key.*", "v", "n")
+        if most < every:
+            return level.select("source", F.col("v").alias("key_digest"), "n")
+        most //= every
+
+
+KEYED = f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx, substr(md5({sql_norm('text')}), 1, 16) AS k FROM documents"
 
 
-@query()
+@query(f"""WITH i AS ({KEYED}), r AS (SELECT source, row_idx // 512 AS at, sha256(unhex(string_agg(k, '' ORDER BY row_idx))) AS d, count(*) AS n FROM i GROUP BY ALL),
+q AS (SELECT source, at // 512 AS at, CASE WHEN (SELECT max(row_idx) FROM i) < 512 THEN min(d) ELSE sha256(unhex(string_agg(d, '' ORDER BY at))) END AS d, sum(n) AS n FROM r GROUP BY ALL)
+SELECT source, d AS key_digest, n::BIGINT AS n FROM q""")
 def ordered_key_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest over the ordered keys of every source, by ranges of its rows."""
-    return digests_of_ranges(indexed(spark, sf_dir, hash=T.text_hash64(F.col("text"), True)))
+    return digests_of_ranges(indexed(spark, sf_dir, hash=T.text_hash64(F.col("text"), True)), 512)
 
 
 def bloom_figures(bits: int, fpr: float, keys: int) -> tuple[int, int, float]:

@@ -67,14 +67,14 @@ def truncate_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, len(g) AS ngrams, len(list_distinct(s)) AS distinct_ngrams FROM g""")
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.size(T.ngrams(T.words(F.col("text")), 5)).cast("bigint").alias("ngrams"), F.size(T.ngram_set(F.col("text"))).cast("bigint").alias("distinct_ngrams"))
+    return docs.select("doc_id", F.size(T.ngram_hashes(T.words(F.col("text")), 5)).cast("bigint").alias("ngrams"), F.size(T.ngram_set(F.col("text"))).cast("bigint").alias("distinct_ngrams"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {sql_words("text")} AS w FROM documents), g AS (SELECT doc_id, {sql_ngrams("w", 2)} AS b, {sql_ngrams("w", 3)} AS t FROM w)
 SELECT doc_id, round(len(list_distinct(b)) / len(b), 6) AS bigrams, round(len(list_distinct(t)) / len(t), 6) AS trigrams FROM g WHERE len(t) > 0""")
 def ngram_unique_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w")).where("size(w) >= 3")
-    return w.select("doc_id", *(F.round(T.unique_ratio(T.ngrams(F.col("w"), n)), 6).alias(name) for n, name in ((2, "bigrams"), (3, "trigrams"))))
+    return w.select("doc_id", *(F.round(T.unique_ratio(T.ngram_hashes(F.col("w"), n)), 6).alias(name) for n, name in ((2, "bigrams"), (3, "trigrams"))))
 
 
 @query("""SELECT lang, lower(lang) || '_code' AS slug, 'code_' || lower(lang) AS source_name FROM (SELECT DISTINCT lang FROM documents)""")
