@@ -37,11 +37,20 @@ def ngrams(items: Column, n: int) -> Column:
 
 
 def ngram_hashes(items: Column, n: int) -> Column:
-    """64-bit hashes of the n-grams, in order, with repeats: words are hashed once each, and runs of
-    their hashes again, so no strings are joined. Two n-grams of a table of a billion meet by chance
-    with a probability of 0.03 in all."""
-    grams = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n)))
-    return bound(F.transform(items, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= n, grams(h)).otherwise(F.array().cast("array<bigint>")))
+    """64-bit hashes of the n-grams, in order, with repeats: words are hashed once each, hashes of runs
+    are made from those of runs half as long, and no strings are joined. Two n-grams of a table of a
+    billion meet by chance with a probability of 0.03 in all."""
+    none = F.array().cast("array<bigint>")
+
+    def of_runs(levels: list[Column], size: int) -> Column:
+        if 2 * size <= n:
+            last = levels[-1]
+            return bound(F.transform(last, lambda x, i: F.xxhash64(x, F.get(last, i + size))), lambda g: of_runs([*levels, g], 2 * size))
+        at = [(level, sum(1 << j for j in range(k + 1, len(levels)) if n >> j & 1)) for k, level in enumerate(levels) if n >> k & 1]
+        starts = lambda: F.sequence(F.lit(0), F.size(levels[0]) - n)
+        return F.when(F.size(levels[0]) >= n, F.transform(starts(), lambda i: F.xxhash64(*(F.get(level, i + skip) for level, skip in reversed(at))))).otherwise(none)
+
+    return bound(F.transform(items, lambda w: F.xxhash64(w)), lambda h: of_runs([h], 1))
 
 
 def ngram_set(text: Column, n: int = 13) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import ngram_set
+from millrace.scratch import cut_lineage
 
 
 def benchmark_ngrams(items: DataFrame, task: Column, text: Column, n: int = 13) -> DataFrame:
-    """Distinct (task, ngram)."""
-    return items.select(task.alias("task"), F.explode(ngram_set(text, n)).alias("ngram")).distinct()
+    """Distinct (task, ngram), as a table of known size: Spark broadcasts it if it is small enough by its
+    threshold, and otherwise shuffles both sides."""
+    return cut_lineage(items.select(task.alias("task"), F.explode(ngram_set(text, n)).alias("ngram")).distinct())
 
 
 def document_hits(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "text", n: int = 13) -> DataFrame:
@@ -25,6 +27,12 @@ def document_hits(docs: DataFrame, bench: DataFrame, keys: list[str], text: str
     return grams.join(bench, "ngram").groupBy(*keys, "total", "task").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def found_ngrams(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "text", n: int = 13) -> DataFrame:
+    """Distinct (keys, ngram) of the benchmark n-grams that occur in documents of those keys."""
+    known = cut_lineage(bench.select("ngram").distinct())
+    return docs.select(*keys, F.explode(ngram_set(F.col(text), n)).alias("ngram")).join(known, "ngram", "left_semi").distinct()
+
+
 def contaminated(hits: DataFrame, threshold: float = 0.1) -> DataFrame:
     """More than ``threshold`` of a document's n-grams in one task alone."""
     return hits.where(F.col("hits") / F.col("total") > threshold)

@@ -59,8 +59,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (source, ngram) of benchmark n-grams that occur in a source."""
-    grams = table(spark, sf_dir, "documents").select("source", F.explode(T.ngram_set(F.col("text"))).alias("ngram"))
-    return grams.join(examples(spark, sf_dir).select("ngram").distinct(), "ngram", "left_semi").distinct()
+    return C.found_ngrams(table(spark, sf_dir, "documents"), examples(spark, sf_dir), ["source"])
 
 
 @query(f"""{BASE}, hit AS (SELECT DISTINCT ngram FROM x JOIN bench USING (ngram)),

@@ -96,8 +96,8 @@ def digests_of_ranges(rows: DataFrame, every: int = 4096) -> DataFrame:
 KEYED = f"SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx, substr(md5({sql_norm('text')}), 1, 16) AS k FROM documents"
 
 
-@query(f"""WITH i AS ({KEYED}), r AS (SELECT source, row_idx // 512 AS at, sha256(unhex(string_agg(k, '' ORDER BY row_idx))) AS d, count(*) AS n FROM i GROUP BY ALL),
-q AS (SELECT source, at // 512 AS at, CASE WHEN (SELECT max(row_idx) FROM i) < 512 THEN min(d) ELSE sha256(unhex(string_agg(d, '' ORDER BY at))) END AS d, sum(n) AS n FROM r GROUP BY ALL)
+@query(f"""WITH i AS ({KEYED}), r AS (SELECT source, row_idx // 512 AS place, sha256(unhex(string_agg(k, '' ORDER BY row_idx))) AS d, count(*) AS n FROM i GROUP BY ALL),
+q AS (SELECT source, place // 512 AS top, CASE WHEN (SELECT max(row_idx) FROM i) < 512 THEN min(d) ELSE sha256(unhex(string_agg(d, '' ORDER BY place))) END AS d, sum(n) AS n FROM r GROUP BY ALL)
 SELECT source, d AS key_digest, n::BIGINT AS n FROM q""")
 def ordered_key_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest over the ordered keys of every source, by ranges of its rows."""
