@@ -16,6 +16,12 @@ def bound(value: Column, body) -> Column:  # noqa: ANN001
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def exploded(items: Column) -> Column:
+    """A row for each member of an array that is costly to make. ``explode`` would let Spark filter empty
+    arrays first and make every array twice; a null row of an empty one is left to the caller."""
+    return F.explode_outer(items)
+
+
 def words(text: Column) -> Column:
     """Words of a text between any white space."""
     return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")

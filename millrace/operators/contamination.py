@@ -11,26 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import ngram_set
+from millrace.functions.text import exploded, ngram_set
 from millrace.scratch import cut_lineage
 
 
 def benchmark_ngrams(items: DataFrame, task: Column, text: Column, n: int = 13) -> DataFrame:
     """Distinct (task, ngram), as a table of known size: Spark broadcasts it if it is small enough by its
     threshold, and otherwise shuffles both sides."""
-    return cut_lineage(items.select(task.alias("task"), F.explode(ngram_set(text, n)).alias("ngram")).distinct())
+    return cut_lineage(items.select(task.alias("task"), exploded(ngram_set(text, n)).alias("ngram")).where("ngram is not null").distinct())
 
 
 def document_hits(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "text", n: int = 13) -> DataFrame:
     """(keys, task, hits, total) of every document and task that share an n-gram."""
-    grams = docs.select(*keys, ngram_set(F.col(text), n).alias("g")).select(*keys, F.size("g").alias("total"), F.explode("g").alias("ngram"))
+    grams = docs.select(*keys, ngram_set(F.col(text), n).alias("g")).select(*keys, F.coalesce(F.size("g"), F.lit(0)).alias("total"), exploded(F.col("g")).alias("ngram"))
     return grams.join(bench, "ngram").groupBy(*keys, "total", "task").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def found_ngrams(docs: DataFrame, bench: DataFrame, keys: list[str], text: str = "text", n: int = 13) -> DataFrame:
     """Distinct (keys, ngram) of the benchmark n-grams that occur in documents of those keys."""
     known = cut_lineage(bench.select("ngram").distinct())
-    return docs.select(*keys, F.explode(ngram_set(F.col(text), n)).alias("ngram")).join(known, "ngram", "left_semi").distinct()
+    return docs.select(*keys, exploded(ngram_set(F.col(text), n)).alias("ngram")).join(known, "ngram", "left_semi").distinct()
 
 
 def contaminated(hits: DataFrame, threshold: float = 0.1) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.text import exploded
 from millrace.scratch import cut_lineage, dispose
 
 
@@ -54,7 +55,7 @@ def band_keys(docs: DataFrame, order: str, text: str, bands: int, rows: int, wor
                 out.append([xxhash.xxh64_intdigest(m[k * rows : (k + 1) * rows].tobytes(), k) - (1 << 63) for k in range(bands)])
             yield pd.Series(out)
 
-    return docs.select(F.col(order).alias("row"), F.explode(keys(text)).alias("bucket"))
+    return docs.select(F.col(order).alias("row"), exploded(keys(text)).alias("bucket")).where("bucket is not null")
 
 
 def greedy_survivors(member: DataFrame) -> DataFrame:
