@@ -104,11 +104,14 @@ def fitted_positions(ends: Column, target: int) -> Column:
     return F.coalesce(F.array_max(F.filter(ends, lambda e: e <= target + 1)) - 1, F.lit(0).cast("bigint"))
 
 
-def conversation_hash(messages: Column) -> Column:
-    """Key over roles and contents as they are; a conversation must end with an answer."""
+def conversation_hash(messages: Column, policy: str = "") -> Column:
+    """Key over a policy's name and the roles and contents as they are, each after its length, so that no
+    content can stand for another turn; a conversation must end with an answer."""
     from millrace.functions.text import signed_prefix
 
-    return signed_prefix(F.sha2(F.array_join(F.transform(messages, lambda m: F.concat_ws("\u001f", m["role"], m["content"])), "\u001e"), 256))
+    sized = lambda c: F.concat(F.char_length(c).cast("string"), F.lit(":"), c)
+    turns = F.transform(messages, lambda m: F.concat(sized(F.coalesce(m["role"], F.lit(""))), sized(F.coalesce(m["content"], F.lit("")))))
+    return signed_prefix(F.sha2(F.concat(F.lit(f"{len(policy)}:{policy}"), F.array_join(turns, "")), 256))
 
 
 def passed_tests(score: Column) -> Column:

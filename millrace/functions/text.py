@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Fixed: every code point of Unicode white space, as a Java character class.
 SPACES = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -128,6 +129,20 @@ def example_text(fields: list[Column], lists: list[Column]) -> Column:
     return F.concat_ws(" ", *fields, *lists)
 
 
+def doc_strings(value: Column, kind: DataType) -> Column:
+    """Every string inside a nested value, depth first: fields, members and values in their order."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, StringType):
+        return F.when(value.isNotNull(), F.array(value)).otherwise(none)
+    if isinstance(kind, StructType):
+        return F.concat(none, *(doc_strings(value[f.name], f.dataType) for f in kind.fields))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(F.flatten(F.transform(value, lambda x: doc_strings(x, kind.elementType))), none)
+    if isinstance(kind, MapType):
+        return doc_strings(F.map_values(value), ArrayType(kind.valueType))
+    return none
+
+
 def preview(text: Column, chars: int = 200) -> Column:
     return F.substring(F.array_join(words(text), " "), 1, chars)
 

@@ -5,7 +5,9 @@ Weights and fractions are decimals: 0.07 of 100 rows are 7, not 8.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,12)"
@@ -84,3 +86,11 @@ def rows_plan(budgets: DataFrame, rates: DataFrame, held_out: str, margin: str =
     return rows.select("source", "budget", up(exact, tokens).cast("bigint").alias("rows_budget"), needed.cast("bigint").alias("rows_needed")).withColumn(
         "rows_sufficient", F.ceil(F.col("rows_needed") * F.lit(m.denominator) / F.lit(m.numerator)).cast("bigint")
     )
+
+
+def top_up(processed: Column, raw: Column, sufficient: Column, needed: Column, margin: Fraction = Fraction(6, 5)) -> Column:
+    """Raw rows to add where a build left too few: the shortfall over the yield it showed, with a margin,
+    and never more than the whole requirement; 0 without a yield to go by."""
+    missing = F.greatest(sufficient - processed, F.lit(0))
+    wanted = F.ceil((missing * raw * margin.numerator) / (processed * margin.denominator))
+    return F.when((raw <= 0) | (processed <= 0), 0).otherwise(F.least(wanted, needed)).cast("bigint")

@@ -7,38 +7,80 @@ runs or epochs are groups of their own.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.order import dense_index
+
 #: The pool is refilled until it holds so many packs' slots.
 LOOKAHEAD = 16
 
 
-def by_deficit(weights: dict[str, float], rows: dict[str, list]) -> Iterator[tuple[str, object, int]]:
+@dataclass
+class StreamState:
+    """Where a stream stands: what each source has drawn, was owed, and which row comes next. A stream
+    that is started from a saved state goes on as if it had never stopped."""
+
+    loaded: dict[str, float] = field(default_factory=dict)
+    target: dict[str, float] = field(default_factory=dict)
+    at: dict[str, int] = field(default_factory=dict)
+
+    def saved(self) -> str:
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @classmethod
+    def read(cls, saved: str) -> StreamState:
+        return cls(**json.loads(saved))
+
+
+def by_deficit(weights: dict[str, float], rows: dict[str, list], state: StreamState | None = None) -> Iterator[tuple[str, object, int]]:
     """(source, row, slots) in the order of the stream: each document comes from the source that is
     furthest behind its share. A source without more rows leaves its share to the others, in
-    proportion to theirs, so every row is drawn once."""
-    loaded = dict.fromkeys(weights, 0.0)
-    target = dict.fromkeys(weights, 0.0)
-    at = dict.fromkeys(weights, 0)
-    names = sorted(n for n, w in weights.items() if w > 0 and len(rows.get(n, ())))
+    proportion to theirs, so every row is drawn once. ``state`` is kept up to date."""
+    state = state or StreamState()
+    for part, zero in ((state.loaded, 0.0), (state.target, 0.0), (state.at, 0)):
+        for n in weights:
+            part.setdefault(n, zero)
+    names = sorted(n for n, w in weights.items() if w > 0 and len(rows.get(n, ())) > state.at[n])
     whole = sum(weights[n] for n in names)
     while names:
-        source = max(names, key=lambda n: target[n] - loaded[n])  # the first of equals
-        row, slots = rows[source][at[source]]
-        at[source] += 1
-        loaded[source] += slots
+        source = max(names, key=lambda n: state.target[n] - state.loaded[n])  # the first of equals
+        row, slots = rows[source][state.at[source]]
+        state.at[source] += 1
+        state.loaded[source] += slots
         for n in names:
-            target[n] += weights[n] / whole * slots
-        if at[source] == len(rows[source]):
+            state.target[n] += weights[n] / whole * slots
+        if state.at[source] == len(rows[source]):
             names.remove(source)
             whole = sum(weights[n] for n in names)
         yield source, row, slots
 
 
+def epochs_of(rows: DataFrame, group: str, order: str, slots: str, goal: Column) -> DataFrame:
+    """(group, epochs, rows_of_last, status): how often a source's rows are read to fill ``goal`` slots,
+    starting again at its first row, and how many rows of the last, partial time. ``status`` is unusable
+    where a whole time gives no slots. ``rows`` should have a column for the goal's expression."""
+    total = rows.groupBy(group).agg(F.sum(slots).alias("_total"), F.first(goal).alias("_goal"))
+    placed = dense_index(rows.select(group, order, slots), [F.col(group), F.col(order)])
+    before = Window.partitionBy(group, "_part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    # running sums within parts of a source's rows, and over its parts
+    placed = placed.withColumn("_part", F.floor(F.col("position") / 65536)).withColumn("_in", F.coalesce(F.sum(slots).over(before), F.lit(0)))
+    parts = placed.groupBy(group, "_part").agg(F.sum(slots).alias("_s"))
+    over = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "_part", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
+    rest = F.pmod(F.col("_goal"), F.col("_total"))
+    drawn = placed.join(parts, [group, "_part"]).join(total, group).where(F.col("_total") > 0)
+    last = drawn.groupBy(group).agg(F.count(F.when(F.col("_base") + F.col("_in") < rest, 1)).alias("rows_of_last"))
+    epochs = F.when(F.col("_total") > 0, F.floor(F.col("_goal") / F.col("_total")))
+    out = total.join(last, group, "left")
+    return out.select(group, epochs.alias("epochs"), "rows_of_last", F.when(F.col("_total") > 0, "ok").otherwise("unusable").alias("status"))
+
+
 def first_fit_packs(stream: Iterator[tuple[object, int]], pack: int, lookahead: int = LOOKAHEAD) -> Iterator[list[tuple[object, int, int]]]:
     """Packs of (row, slots, offset): walk the pool from its front and take what still fits; what
     is left leads the next pack. Rows longer than a pack are dropped. Ends when all is taken."""

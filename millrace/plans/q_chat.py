@@ -136,7 +136,7 @@ def fitted_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted(spark, sf_dir).agg(F.sum(C.fitted_positions(F.col("ends"), 128)).alias("positions"), F.count(F.lit(1)).alias("conversations"))
 
 
-HASHED = sql_hash("array_to_string(list_transform(messages, lambda x: x.role || chr(31) || x.content), chr(30))", "sha256")
+HASHED = sql_hash("'0:' || array_to_string(list_transform(messages, lambda x: length(x.role) || ':' || x.role || length(x.content) || ':' || x.content), '')", "sha256")
 
 
 @query(f"{MESSAGES} SELECT conv_id, {HASHED} AS hash FROM m WHERE messages[-1].role = 'assistant' QUALIFY row_number() OVER (PARTITION BY {HASHED} ORDER BY conv_id) = 1")

@@ -107,17 +107,17 @@ def contamination_report_worst10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("task", "idx", F.col("place").cast("bigint").alias("place"), F.round("share", 4).alias("share"), F.col("total").alias("ngrams"))
 
 
-RANGES = "(VALUES ('src0', 2, 30), ('src1', 0, 25), ('src2', 5, 100000))"
-
-
-@query(f"""{BASE}, i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx FROM documents),
-t AS (SELECT i.* FROM i JOIN {RANGES} r(source, first, stop) USING (source) WHERE row_idx >= first AND row_idx < stop)
+@query(f"""{BASE}, i AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_idx, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL),
+t AS (SELECT * FROM i WHERE row_idx >= (n + 19) // 20 AND row_idx < (n + 19) // 20 + (n - (n + 19) // 20) * 3 // 5)
 SELECT source, count(*) AS rows_scanned, count(*) FILTER (doc_id IN (SELECT doc_id FROM h)) AS rows_with_hit FROM t GROUP BY source""")
 def trained_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the rows that a run has trained on: after the holdout, up to what it consumed."""
+    """Only the rows that a run has trained on, of every source: after its holdout (a twentieth), up to
+    what was consumed of the rest (three fifths)."""
     from millrace.plans.q_dedup import indexed
 
-    ranges = spark.createDataFrame([("src0", 2, 30), ("src1", 0, 25), ("src2", 5, 100000)], "source string, first bigint, stop bigint")
-    rows = indexed(spark, sf_dir).join(ranges, "source").where("row_idx >= first and row_idx < stop")
-    hit = hits(spark, sf_dir).select("doc_id").distinct().withColumn("hit", F.lit(1))
-    return rows.join(hit, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("rows_scanned"), F.count("hit").alias("rows_with_hit"))
+    rows = indexed(spark, sf_dir).where("source is not null")
+    size = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", F.expr("(n + 19) div 20").alias("first"), F.expr("(n + 19) div 20 + (n - (n + 19) div 20) * 3 div 5").alias("stop"))
+    trained = rows.join(size, "source").where("row_idx >= first and row_idx < stop").select("doc_id", "source")
+    scanned = table(spark, sf_dir, "documents").select("doc_id", "text").join(trained, "doc_id")
+    hit = C.document_hits(scanned, bench(spark, sf_dir), ["doc_id"]).select("doc_id").distinct().withColumn("hit", F.lit(1))
+    return trained.join(hit, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("rows_scanned"), F.count("hit").alias("rows_with_hit"))

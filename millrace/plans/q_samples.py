@@ -128,16 +128,8 @@ def ema_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moving_means(indexed(spark, sf_dir).select("source", F.col("row_idx").alias("step"), F.col("tokens").cast("double").alias("x")))
 
 
-@query("""WITH g AS (SELECT conv_id, count(*) AS n, sum(count(*)) OVER (ORDER BY conv_id) AS upto FROM conversations GROUP BY conv_id) SELECT conv_id, n AS requests, ((upto - n) // 8)::BIGINT AS job FROM g""")
-def benchmark_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a document stay together in jobs of about eight."""
-    n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("requests"))
-    upto = F.sum("requests").over(Window.orderBy("conv_id"))  # a row for each benchmark document: a small table
-    return n.select("conv_id", "requests", F.floor((upto - F.col("requests")) / 8).alias("job"))
-
-
-@query(f"SELECT doc_id, {sql_hash(sql_norm('text'))} AS hash, length(text) // 4 AS tokens FROM documents WHERE source = 'src5' AND length(text) >= 50 QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id) = 1")
-def prepared_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source through its whole build: length, tokens, key, first of each key."""
-    rows = table(spark, sf_dir, "documents").where("source = 'src5'")
-    return spec.prepared(rows, spec.Processing(), order="doc_id").select("doc_id", "hash", "tokens")
+@query(f"SELECT doc_id, source, {sql_hash(sql_norm('text'))} AS hash, length(text) // 4 AS tokens FROM documents WHERE source IS NOT NULL AND length(text) >= 50 QUALIFY row_number() OVER (PARTITION BY source, hash ORDER BY doc_id) = 1")
+def prepared_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source through its whole build: length, tokens, key, first of each key."""
+    rows = table(spark, sf_dir, "documents").where("source is not null")
+    return spec.prepared(rows, spec.Processing(), order="doc_id", by=["source"]).select("doc_id", "source", "hash", "tokens")

@@ -35,6 +35,10 @@ class Source:
     kind: str = "pretrain"  # or instruct
     pattern: str = "*"
     text_field: str = "text"
+    converter: str | None = None
+    fields: dict[str, str] | None = None
+    filters: tuple[str, ...] = ()
+    shuffle: bool | None = None  # by default instructions are shuffled and documents are not
     check_limit: int | None = None
     rows: int | None = None
     validation_fraction: str | None = None
@@ -46,15 +50,17 @@ class Source:
         if self.kind not in ("pretrain", "instruct"):
             out.append(f"unknown kind {self.kind}")
         if self.check_limit is not None and self.check_limit <= 0:
-            out.append("check_limit must be positive")
+            out.append("a check_limit looks at one row at least")
         if self.rows is not None and self.rows <= 0:
             out.append("rows must be positive")
         if not 0 <= self.input_inversions < 1:
-            out.append("input_inversions must be in [0, 1)")
+            out.append("input_inversions are a share below one")
         if self.input_inversions and self.kind != "instruct":
             out.append("input_inversions only applies to instruct sources")
         if self.validation_fraction is not None and not 0 <= Fraction(self.validation_fraction) < 1:
-            out.append("validation_fraction must be in [0, 1)")
+            out.append("the held-out fraction is a share below one")
+        if self.converter is not None and self.fields is not None:
+            out.append("a converter and a field map exclude each other")
         return out
 
 
@@ -146,9 +152,9 @@ def epochs_needed(rows: int, budget: int) -> int:
     return ceil(Fraction(budget, rows)) if rows else 0
 
 
-def prepared(rows: DataFrame, processing: Processing, text: str = "text", order: str = "row_idx", benchmarks: DataFrame | None = None) -> DataFrame:
+def prepared(rows: DataFrame, processing: Processing, text: str = "text", order: str = "row_idx", benchmarks: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """One source's rows after its filters, with ``tokens`` and ``hash``: cheap filters first,
-    then quality, benchmarks, and the first of each key."""
+    then quality, benchmarks, and the first of each key; ``by`` tells several sources apart."""
     kept = rows.where(F.col(text).isNotNull() & (F.char_length(text) >= processing.min_chars))
     if processing.quality:
         kept = kept.where(T.quality_reason(F.col(text)) == "passed")
@@ -159,7 +165,7 @@ def prepared(rows: DataFrame, processing: Processing, text: str = "text", order:
     kept = kept.withColumn("tokens", T.estimate_tokens(F.col(text))).withColumn("hash", T.text_hash64(F.col(text), processing.normalize))
     if processing.dedup == "none":
         return kept
-    kept = dedup.first_rows(kept, "hash", [order])
+    kept = dedup.first_rows(kept, ["hash", *(by or [])], [order])
     if processing.dedup == "minhash":
         from millrace.operators.fuzzy import near_dups
 

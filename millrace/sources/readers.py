@@ -133,6 +133,37 @@ def keyed_rows(rows: DataFrame, key: str, value: str, order: list[str], offset:
     return row_slice(rows.where(F.col(key) == value), order, offset, count)
 
 
+def keyed_slices(rows: DataFrame, key: str, order: list[str], requests: dict[str, tuple[int, int | None]]) -> DataFrame:
+    """The slices (offset, count) of several keys from one pass, with each row's ``position`` within its
+    key; a key without a request is passed over. All rows are numbered together, so a key with a third
+    of them is as many ranges."""
+    wanted = dense_index(rows.where(F.col(key).isin(list(requests))), [F.col(key), *(F.col(c) for c in order)])
+    base = wanted.groupBy(key).agg(F.min("position").alias("_base"))
+    placed = wanted.join(F.broadcast(base), key).withColumn("position", F.col("position") - F.col("_base")).drop("_base")  # a row for each request
+    hit = F.lit(False)
+    for name, (offset, count) in requests.items():
+        within = F.col("position") >= offset if count is None else F.col("position").between(offset, offset + count - 1)
+        hit = hit | ((F.col(key) == name) & within)
+    return placed.where(hit)
+
+
+def file_index(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(file, key, rows, lowest, highest): what each file holds of each key, so that later scans leave
+    out files that can't have a row."""
+    file = F.col("_metadata.file_path").alias("file")
+    return rows.select(file, F.col(key).alias("key"), order).groupBy("file", "key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("lowest"), F.max(order).alias("highest"))
+
+
+def files_with(index: DataFrame, key: str, low: object = None, high: object = None) -> list[str]:
+    """The files that hold rows of a key between two bounds; the driver holds their names."""
+    found = index.where(F.col("key") == key)
+    if low is not None:
+        found = found.where(F.col("highest") >= low)
+    if high is not None:
+        found = found.where(F.col("lowest") <= high)
+    return sorted(r.file for r in found.select("file").distinct().collect())
+
+
 def undeclared_keys(rows: DataFrame, key: str, declared: list[str]) -> DataFrame:
     return rows.select(key).where(F.col(key).isNotNull() & ~F.col(key).isin(declared)).distinct()
 
