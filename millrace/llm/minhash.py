@@ -132,7 +132,7 @@ class Shingler:
                 if b - a >= self.words:
                     yield np.unique(shingles[a : b - self.words + 1])
                 elif b > a:
-                    yield mix(np.array([(hashes[a:b] * self.weights[: b - a]).sum() + self.weights[-1] * U(b - a)], U))
+                    yield mix((hashes[a:b] * self.weights[: b - a]).sum(keepdims=True) + self.weights[-1:] * U(b - a))
                 else:
                     yield np.zeros(0, U)
             at = to

@@ -464,7 +464,8 @@ def entity_table(docs: DataFrame, key: bytes, text_col: str = "text", further: d
         for texts in batches:
             yield pd.Series([[{"kind": k, "value": v, "surrogate": to.of(k, v)} for k, v in sorted({(k, t[a:b]) for a, b, k in entities(t)})] if t else [] for t in texts])
 
-    return docs.select(F.explode(run(text_col)).alias("e")).select("e.*").distinct()
+    # explode would filter empty arrays first and look for entities twice
+    return docs.select(F.explode_outer(run(text_col)).alias("e")).where("e is not null").select("e.*").distinct()
 
 
 def collisions(docs: DataFrame, key: bytes, text_col: str = "text", further: dict[tuple[str, str], int] | None = None) -> DataFrame:
