@@ -279,6 +279,7 @@ class Surrogates:
         return self.reshaped("surname", stem, () if ending else ENDINGS, STEMS[ending]) + ending
 
 
+TITLE_SET = frozenset(TITLES)
 NAME_OF = {name: (pool, i) for pool, names in GIVEN.items() for i, name in enumerate(names)}
 #: Words that surnames don't become, by ending and without it.
 STEMS = {e: tuple(sorted(w[: len(w) - len(e)] for w in {*NAME_OF, *TITLES} if ending_of(w) == e)) for e in ("", *ENDINGS)}
@@ -307,9 +308,19 @@ PATTERNS = {
 }
 DIGITS = re.compile(r"[0-9][0-9 .()-]{5}")
 CAPITALISED = re.compile(rf"(?<!\w){CAPITAL}(?!\w)")
-CUE = re.compile(rf"(?<!\w)(?:{'|'.join(CUES.split(chr(10))[1:-1])})[:,]?\s+")
 BETWEEN = re.compile(rf" (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}")
-TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\.? ({CAPITAL})(?: ({CAPITAL}))?")
+#: The phrases, with both cases of a bracketed beginning.
+PHRASES = tuple(v for cue in re.split(r"[|\n]", CUES.strip()) for v in ([c + cue[4:] for c in cue[1:3]] if cue[0] == "[" else [cue]))
+
+
+def introduced(text: str, at: int) -> bool:
+    """Whether a phrase that a name follows stands right before a place, with a comma or colon at most."""
+    before = text[max(0, at - 24) : at]
+    head = before.rstrip()
+    if head == before:
+        return False
+    head = head[:-1] if head[-1:] in (":", ",") else head
+    return head.endswith(PHRASES) and any(head.endswith(p) and not (head[-len(p) - 1 : -len(p)] or " ").isalnum() for p in PHRASES)
 
 
 def issued(digits: str) -> bool:
@@ -353,24 +364,30 @@ def name_spans(text: str) -> Iterator[tuple[int, int]]:
     words again where it stands alone."""
     known: set[str] = set()
     words = [(m.start(), m.end(), m[0]) for m in CAPITALISED.finditer(text)]
-    introduced = {m.end() for m in CUE.finditer(text)}
-    after = 0  # words up to here belong to the name before
+    titles, after = [], 0  # words before ``after`` belong to the name before
     for i, (a, b, word) in enumerate(words):
+        if word in TITLE_SET:
+            titles.append(i)
+            continue
         given = word in NAME_OF
-        if i < after or not (given or a in introduced) or word in TITLES:
+        if i < after or i + 1 == len(words) or not BETWEEN.fullmatch(text, b, words[i + 1][0]) or not (given or introduced(text, a)):
             continue
-        last = i
-        while last + 1 < len(words) and (last == i or words[last][2] in NAME_OF) and BETWEEN.fullmatch(text, words[last][1], words[last + 1][0]):
+        last = i + 1
+        while last + 1 < len(words) and words[last][2] in NAME_OF and BETWEEN.fullmatch(text, words[last][1], words[last + 1][0]):
             last += 1
-        if last > i:
-            after = last + 1
-            known.update(w for _, _, w in words[i:after])
-            yield a, words[last][1]
-    for m in TITLED.finditer(text):
-        whole = m[2] and (m[1] in NAME_OF or m[2] in known)
-        known.update((m[1], m[2]) if whole else (m[1],))
-        yield m.start(1), m.end(2) if whole else m.end(1)
-    known.difference_update(TITLES)
+        after = last + 1
+        known.update(w for _, _, w in words[i:after])
+        yield a, words[last][1]
+    for i in titles:
+        if i + 1 == len(words) or text[words[i][1] : words[i + 1][0]] not in (" ", ". "):
+            continue
+        a, b, word = words[i + 1]
+        known.add(word)
+        if i + 2 < len(words) and word in NAME_OF and text[b : words[i + 2][0]] == " ":
+            b = words[i + 2][1]
+            known.add(words[i + 2][2])
+        yield a, b
+    known -= TITLE_SET
     if known:
         for a, b, word in words:
             if word in known:
