@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ascii_lower, word_array
+from millrace.scratch import cut_lineage
 
 #: Tokens of a bin, a token being estimated as four characters.
 CAPACITY = 2048
@@ -92,8 +93,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc
     length = F.col(tokens_col) if tokens_col else F.ceil(F.char_length(F.coalesce(F.col(text_col), F.lit(""))) / 4)
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.when(F.col(text_col).isNotNull(), text_cluster(F.col(text_col)))
     items = docs.select(F.col(id_col).alias("id"), F.coalesce(length, F.lit(0)).cast("long").alias("tokens"), F.col(source_col).cast("string").alias("source"), cluster.alias("cluster"))
-    items = items.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart
-    shards = max(1, -(-docs.count() // shard))
+    # texts are read once, and the numbers that tell repeated rows apart are fixed
+    items = cut_lineage(items.withColumn("row", F.monotonically_increasing_id()))
+    shards = max(1, -(-items.count() // shard))
     whole = F.floor(F.col("tokens") / capacity).cast("int")
     full = items.where(whole > 0).withColumn("piece", F.explode(F.sequence(F.lit(0), whole - 1)))
     full = full.select(
