@@ -302,17 +302,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     chosen = buckets.groupBy("n", "lo", "sum").agg(F.min("grp").alias("grp")).select("grp", "n", F.col("lo").alias("hub"))
     met = cut_lineage(member.join(chosen, "grp"))
 
-    def with_texts(rows: DataFrame) -> DataFrame:
-        # a table of known size: where few texts are wanted, Spark sends their keys and shuffles no text
-        found = cut_lineage(rows.select("cid").distinct().join(classes.select("cid", "id", "mark"), "cid"))
-        found = found.join(texts.withColumnRenamed("id", "t_id"), F.col("id").eqNullSafe(F.col("t_id")) & (found["mark"] == texts["mark"]))
-        return rows.join(found.select("cid", "text").dropDuplicates(["cid"]), "cid")
-
+    # the texts of all classes that share a bucket, fetched once; of repeated rows one stands for all
+    rep = met.select("cid").distinct().join(classes.select("cid", "id", "mark"), "cid")
+    rep = rep.join(texts.withColumnRenamed("id", "t_id"), F.col("id").eqNullSafe(F.col("t_id")) & (rep["mark"] == texts["mark"]))
+    held = cut_lineage(rep.select("cid", "text").dropDuplicates(["cid"]))
     stars = met.where((F.col("n") > 2 * block) & (F.col("cid") != F.col("hub"))).select("cid", "hub", "n_shingles").distinct()
     dealt = star_blocks(stars, block, "n_shingles")
     alike = forest(dealt.join(classes.select("cid", "short"), "cid"), plan, False, star=True)  # by signature first
     stars = cut_lineage(alike.select(F.col("a").alias("hub"), F.col("b").alias("cid")).join(classes.select("cid", "n_shingles"), "cid"))
-    cores = cut_lineage(forest(with_texts(star_blocks(stars, block, "n_shingles")), plan, True, star=True))
+    cores = cut_lineage(forest(star_blocks(stars, block, "n_shingles").join(held, "cid"), plan, True, star=True))
     core_of = connected_components(cores).withColumnsRenamed({"node": "c_id", "component": "core"})
     cored = lambda rows: rows.join(core_of, F.col("cid") == F.col("c_id"), "left").withColumn("core", F.coalesce("core", "cid")).drop("c_id")
     alike = forest(block_pairs(cored(met.select("grp", "cid", "short")), "grp", "cid", 2 * block, core="core"), plan, False)
@@ -320,7 +318,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     named = families.select(F.col("node").alias("cid"), F.col("component").alias("grp"))
     named = named.unionByName(named.select(F.col("grp").alias("cid"), "grp").distinct())
     close = block_pairs(cored(named).join(classes.select("cid", "n_shingles"), "cid"), "grp", "cid", block, "n_shingles", core="core")
-    links = connected_components(forest(with_texts(close), plan, True).unionByName(cores))
+    links = connected_components(forest(close.join(held, "cid"), plan, True).unionByName(cores))
     grouping = classes.join(links, F.col("cid") == F.col("node"), "left").select("set_key", F.coalesce("component", "cid").alias("cluster"), "no_id", "id", "mark")
     least = grouping.groupBy("cluster").agg(F.min(F.struct("no_id", "id", "mark")).alias("l")).select(F.col("cluster").alias("c"), F.col("l.id").alias("component"), F.col("l.mark").alias("c_mark"))
     known = grouping.select("set_key", "cluster").join(least, F.col("cluster") == F.col("c")).select("set_key", "component", "c_mark")
