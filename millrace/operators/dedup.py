@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from millrace.scratch import cut_lineage
 
 
-def first_rows(rows: DataFrame, key: str | list[str], order: list[str], narrow: bool = False) -> DataFrame:
+def first_rows(rows: DataFrame, key: str | list[str], order: list[str] | list[Column], narrow: bool = False) -> DataFrame:
     """The row of each key that comes first by ``order`` (a total order). ``narrow`` rows are carried
-    through the grouped minimum; of others only keys are shuffled twice and the rows joined back."""
+    through the grouped minimum, by names or by expressions; of others only keys are shuffled twice and the rows joined back."""
     key = [key] if isinstance(key, str) else key
     if narrow:
         first = F.min(F.struct(*order, F.struct(*rows.columns).alias("_row"))).alias("_first")

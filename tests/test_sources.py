@@ -79,3 +79,24 @@ def test_a_stream_commits_each_batch_once(spark, tmp_path):
     spark.createDataFrame([(99, "s", "TEXT 3 "), (100, "s", "new")], "doc_id long, source string, text string").write.mode("append").parquet(str(tmp_path / "in"))
     again = stream_dedup(*args)
     assert again.count() == 8 and {r.doc_id for r in again.collect()} - {r.doc_id for r in first.collect()} == {100}
+
+
+def test_a_stream_keeps_the_least_row_in_whatever_order_files_come(spark, tmp_path):
+    schema = "doc_id long, source string, text string"
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 1)
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(args[1])
+
+    def kept():
+        return sorted(((r.doc_id, r.source) for r in stream_dedup(*args).collect()), key=str)
+
+    docs = [(i, f"s{i}", f"text {i % 7}") for i in range(10, 40)]
+    for k in (2, 0, 1):  # files whose numbers neither rise nor fall
+        add(docs[k * 10 : k * 10 + 10])
+    assert kept() == [(i, f"s{i}") for i in range(10, 17)]
+    add([(5, "late", "TEXT  3"), (50, "s50", "text 4"), (60, "s60", None), (None, "n", "text 5"), (None, "n", "alone")])
+    add([(55, "s55", None), (7, "b", "Text 6"), (7, "a", "text 6"), (70, "s70", "alone")])
+    want = [(11, "s11"), (12, "s12"), (14, "s14"), (15, "s15"), (16, "s16"), (5, "late"), (55, "s55"), (7, "a"), (70, "s70")]
+    assert kept() == want  # 5 took the place of 10, 7 that of 13
+    assert kept() == want  # nothing new: nothing changes
